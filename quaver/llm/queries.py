@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaver.llm import splits
+from quaver.llm import neardup, overlap, splits
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -31,8 +31,32 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_report(splits.assign_splits(_t(spark, d, "scores"), plan), plan)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a training score and an evaluation record that overlap, smaller key first."""
+    records = overlap.evaluation_records(_t(spark, d, "scores"), _t(spark, d, "split_files"), _t(spark, d, "bench"))
+    pairs = overlap.overlaps(records)
+    return pairs.select(F.least("training_key", "key").alias("key_a"), F.greatest("training_key", "key").alias("key_b"))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping evaluation records per split and corpus."""
+    files = _t(spark, d, "split_files")
+    records = overlap.evaluation_records(_t(spark, d, "scores"), files, _t(spark, d, "bench"))
+    return overlap.overlap_report(overlap.overlaps(records), files)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Scores that are not the first of their group of near-duplicates."""
+    return neardup.near_duplicates(_t(spark, d, "scores")).where("pos <> group_pos").select("group_pos", "pos")
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every score with music, its class of equal music and its group."""
+    return neardup.near_duplicates(_t(spark, d, "scores"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p1_report)
+    f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_report, p4_found, p4_groups)
 }
 
 #: DuckDB statements for those queries that SQL can express.
