@@ -53,26 +53,34 @@ def prompt_draw(corpus: DataFrame, n: int, seed: int, order: str = "pos") -> Dat
 
 
 def fill_categories(pool: DataFrame, n: int, order: str = "rn") -> DataFrame:
-    """Rows of ``pool`` that get an error, with ``category``, in the order of the fill.
+    """Rows of ``pool`` that get an error, with ``category`` and ``category_no``.
 
     ``pool`` has ``rn`` (1, 2, ...) and ``ok_<category>`` flags.  Categories are filled one after the
-    other from a shared cursor: each row is tried once; a category stops at ``n // 5`` rows, after
-    eight times as many trials, or at the end of the pool.  The pool is cut to the rows that can be
-    tried at all, a bound that depends on ``n`` alone; so the windows run over a bounded table.
+    other from a shared cursor: each row is tried once, in order; a category stops at ``n // 5``
+    rows, after eight times as many trials, or at the end of the pool.  Only the rows that can be
+    tried at all, a number that depends on ``n`` alone, are brought together, and folded in one pass.
     """
-    per = max(1, n // len(CATEGORIES))
-    tried = pool.where(F.col(order) <= 8 * per * len(CATEGORIES)).select(order, *[f"ok_{c}" for c in CATEGORIES])
-    cursor = tried.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("at"))
-    chosen = None
-    for number, c in enumerate(CATEGORIES):
-        w = Window.orderBy(order)
-        left = tried.crossJoin(F.broadcast(cursor)).where(F.col(order) > F.col("at")).withColumn("try", F.row_number().over(w))
-        seen = left.withColumn("got", F.sum(F.col(f"ok_{c}").cast("int")).over(w))
-        kept = seen.where((F.col("got") - F.col(f"ok_{c}").cast("int") < per) & (F.col("try") <= 8 * per))
-        hit = kept.where(F.col(f"ok_{c}")).select(order, F.lit(c).alias("category"), F.lit(number).alias("category_no"))
-        chosen = hit if chosen is None else chosen.unionByName(hit)
-        cursor = kept.agg(F.max(order).alias("m")).crossJoin(cursor).select(F.coalesce("m", "at").alias("at"))
-    return chosen
+    per, k = max(1, n // len(CATEGORIES)), len(CATEGORIES)
+    flags = F.array(*[F.coalesce(F.col(f"ok_{c}"), F.lit(False)) for c in CATEGORIES])
+    tried = pool.where(F.col(order) <= 8 * per * k).select(F.col(order).cast("bigint").alias("rn"), flags.alias("ok"))
+    rows = tried.agg(F.array_sort(F.collect_list(F.struct("rn", "ok"))).alias("rows"))
+    start = F.struct(
+        F.lit(0).alias("no"), F.lit(0).alias("got"), F.lit(0).alias("tries"), F.array().cast("array<struct<rn:bigint,category_no:int>>").alias("out")
+    )
+
+    def step(a: Column, row: Column) -> Column:
+        hit = (a["no"] < k) & F.coalesce(F.get(row["ok"], a["no"]), F.lit(False))
+        got, tries = a["got"] + hit.cast("int"), a["tries"] + 1
+        full = (got >= per) | (tries >= 8 * per)
+        out = F.when(hit, F.concat(a["out"], F.array(F.struct(row["rn"].alias("rn"), a["no"].alias("category_no"))))).otherwise(a["out"])
+        return F.struct(
+            F.when(full, a["no"] + 1).otherwise(a["no"]).alias("no"), F.when(full, F.lit(0)).otherwise(got).alias("got"),
+            F.when(full, F.lit(0)).otherwise(tries).alias("tries"), out.alias("out"),
+        )
+
+    filled = rows.select(F.explode(F.aggregate("rows", start, step)["out"]).alias("f"))
+    names = F.array(*[F.lit(c) for c in CATEGORIES])
+    return filled.select(F.col("f.rn").cast("int").alias(order), F.get(names, F.col("f.category_no")).alias("category"), F.col("f.category_no").alias("category_no"))
 
 
 def limit_per_task(bench: DataFrame, limit: int | None, order: str = "rec_no") -> DataFrame:
