@@ -9,11 +9,12 @@ from pyspark.sql import types as T
 
 #: From this share of common bars on two records hold the same music without a look at their notes;
 #: below MAYBE they don't; between, at most CHANGED of the notes of the shorter one may differ.
-SURE, MAYBE, CHANGED = 0.5, 0.25, 0.2
+SURE, MAYBE, CHANGED = 0.5, 0.3, 0.2
 
 _COMMENT = r"%\{(?s:.*?)%\}|%[^\n]*"
 _STATEMENT = r"\\key\s+\S+\s*\\\w+|\\time\s+\d+\s*/\s*\d+|\\tempo\s+(?:\"[^\"]*\"\s*)?(?:[^|\n={}]*=\s*\d+(?:\s*-\s*\d+)?)?|\\(?:clef|language|version|bar)\s+(?:\"[^\"]*\"|\S+)"
 _MARK = r"\\[A-Za-z]+|\\[<>!]|[-_^][.^>!_+-]|[~()\[\]]"
+_REST = r"^(?:[rRs][\d.*/]*(?: |$))+$"
 _NUMBER = r"(?m)^\s*\d+\.\s+"
 
 
@@ -35,19 +36,27 @@ def bars(text: Column) -> Column:
 
 
 def with_bars(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``bars``, ``hashes`` (their sorted distinct 64-bit hashes) and ``class`` (the same for the same bag of bars, whatever their order); leaves out rows without music."""
-    hashed = F.array_sort(F.transform("bars", lambda b: F.xxhash64(b)))
+    """Adds ``bars`` and ``class`` (the same for the same bag of bars, whatever their order); leaves out rows without music."""
     return (
         df.where(F.col(text).isNotNull())
         .withColumn("bars", bars(F.col(text)))
         .where(F.size("bars") > 0)
-        .withColumn("_all", hashed)
-        .withColumn("class", F.xxhash64("_all"))
-        .withColumn("hashes", F.array_distinct("_all"))
-        .drop(text, "_all")
+        .withColumn("class", F.xxhash64(F.array_sort(F.transform("bars", lambda b: F.xxhash64(b)))))
+        .drop(text)
     )
 
 
+def sounding(bars: Column) -> Column:
+    """The bars with notes; those of nothing but rests say nothing about a record, unless it has no others."""
+    notes = F.filter(bars, lambda b: ~b.rlike(_REST))
+    return F.when(F.size(notes) > 0, notes).otherwise(bars)
+
+
+def bar_hashes(bars: Column) -> Column:
+    """Sorted distinct 64-bit hashes of the sounding bars."""
+    return F.array_sort(F.array_distinct(F.transform(sounding(bars), lambda b: F.xxhash64(b))))
+
+
 def prefix(postings: DataFrame, doc: str | list[str], share: float) -> DataFrame:
     """The rarest bars of each document, so many that any ``share`` of its bars must touch them.
 

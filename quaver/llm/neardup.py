@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaver.llm.components import connected_components
-from quaver.llm.music import MAYBE, SURE, confirmed, prefix, with_bars
+from quaver.llm.music import MAYBE, SURE, bar_hashes, confirmed, prefix, with_bars
 from quaver.llm.scratch import cut
 
 GROUPS = 64
@@ -172,7 +172,7 @@ def near_duplicates(scores: DataFrame) -> DataFrame:
     no music have no row; a score like no other is its own group; other columns are not read.
     """
     parsed = cut(with_bars(scores.where("pos is not null").select("pos", "text"), "text"), "bars")
-    reps = cut(parsed.groupBy("class").agg(F.min("pos").alias("rep"), F.first("hashes").alias("hashes")), "classes")
+    reps = cut(parsed.select("pos", "class", bar_hashes(F.col("bars")).alias("hashes")).groupBy("class").agg(F.min("pos").alias("rep"), F.first("hashes").alias("hashes")), "classes")
     links = cut(
         routed(reps.select("rep", "hashes"))
         .repartition("bar", "cell")

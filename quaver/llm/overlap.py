@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaver.llm.fmindex import FMIndex, Symbols, encode
-from quaver.llm.music import MAYBE, SURE, confirmed, prefix, with_bars
+from quaver.llm.music import MAYBE, SURE, bar_hashes, confirmed, prefix, sounding, with_bars
 from quaver.llm.scratch import cut
 
 SHARD_BARS = 150_000
@@ -58,7 +58,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def common_bars(records: DataFrame) -> DataFrame:
     """Distinct 64-bit hashes of bars that stand in a training record and in an evaluation record.  ``records(training boolean, bars array<string>)``."""
     each = cut(
-        records.select("training", F.explode("bars").alias("bar")).distinct()
+        records.select("training", F.explode(sounding(F.col("bars"))).alias("bar")).distinct()
         .withColumn("tail", F.pmod(F.xxhash64(F.substring_index("bar", " ", -2)), F.lit(1 << 20)).cast("int")),
         "distinct-bars",
     )
@@ -77,17 +77,17 @@ def common_bars(records: DataFrame) -> DataFrame:
 def overlaps(records: DataFrame) -> DataFrame:
     """``(training_key, key)``: pairs of a training record and an evaluation record that overlap.
 
-    ``records(key bigint, training boolean, text string)``: a key is on one side only.  A pair
+    ``records(key bigint, training boolean, bars array<string>, class bigint)`` as of
+    :func:`evaluation_records`: a key is on one side only.  A pair
     overlaps if at least ``SURE`` of the distinct bars of the record with fewer bars are common, or
     ``MAYBE`` of them and all but few of its notes.  Records without text or music overlap with
     nothing; an empty side gives an empty result; repeated rows count once.
     """
-    parsed = cut(with_bars(records.where("key is not null and training is not null").select("key", "training", "text"), "text").drop("hashes"), "music")
+    parsed = cut(records.where("key is not null and training is not null").select("key", "training", "bars", "class"), "music")
     common = cut(common_bars(parsed.select("training", "bars")), "common-bars")
     classes = cut(
-        parsed.groupBy("class", "training").agg(
-            F.min("key").alias("rep"), F.first(F.array_distinct(F.transform("bars", lambda b: F.xxhash64(b)))).alias("hashes")
-        ),
+        parsed.select("key", "class", "training", bar_hashes(F.col("bars")).alias("hashes"))
+        .groupBy("class", "training").agg(F.min("key").alias("rep"), F.first("hashes").alias("hashes")),
         "classes",
     )
     spans = cut(
@@ -131,11 +131,11 @@ def split_of(split_files: DataFrame) -> DataFrame:
 
 
 def evaluation_records(scores: DataFrame, split_files: DataFrame, bench: DataFrame) -> DataFrame:
-    """``(key, training, text)`` of the scores with a split and of all benchmark records."""
-    placed = scores.select("pos", "text").join(split_of(split_files), "pos")
-    return placed.select(F.col("pos").alias("key"), (F.col("split") == "train").alias("training"), "text").unionByName(
-        bench.select(F.col("rec_no").alias("key"), F.lit(False).alias("training"), F.col("input_content").alias("text"))
-    )
+    """``(key, training, bars, class)`` of the scores with a split and of all benchmark records.  Texts are parsed before the join, so only bars are shuffled."""
+    music = with_bars(scores.where("pos is not null").select(F.col("pos").alias("key"), "text"), "text")
+    side = split_of(split_files).select(F.col("pos").alias("key"), (F.col("split") == "train").alias("training"))
+    held = with_bars(bench.select(F.col("rec_no").alias("key"), F.lit(False).alias("training"), F.col("input_content").alias("text")), "text")
+    return music.join(side, "key").select("key", "training", "bars", "class").unionByName(held.select("key", "training", "bars", "class"))
 
 
 def overlap_report(pairs: DataFrame, split_files: DataFrame) -> DataFrame:
