@@ -43,12 +43,12 @@ def query(f: Query) -> Query:
     return f
 
 
-def _on_scores(name: str, **columns: Column) -> None:
-    QUERIES[name] = lambda spark, d: scores(spark, d).select("pos", *[c.alias(k) for k, c in columns.items()])
+def _on_scores(name: str, columns: Callable[[], dict[str, Column]]) -> None:
+    QUERIES[name] = lambda spark, d: scores(spark, d).select("pos", *[c.alias(k) for k, c in columns().items()])
 
 
-def _on_outputs(name: str, **columns: Column) -> None:
-    QUERIES[name] = lambda spark, d: answers(spark, d).select("id", "model_id", *[c.alias(k) for k, c in columns.items()])
+def _on_outputs(name: str, columns: Callable[[], dict[str, Column]]) -> None:
+    QUERIES[name] = lambda spark, d: answers(spark, d).select("id", "model_id", *[c.alias(k) for k, c in columns().items()])
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
@@ -64,45 +64,43 @@ def joined(c: Column) -> Column:
 
 # --- text on scores -----------------------------------------------------------------------------
 
-_text = F.col("text")
-_on_scores("t01_strip_preamble", v=T.strip_preamble(_text))
-_on_scores("t02_split_bars", v=joined(T.split_bars(_text)))
-_on_scores("t03_count_bars", v=T.count_bars(_text))
-_on_scores("t04_mask_positions", v=T.mask_positions(_text))
-_on_scores("t05_separators", n=F.size(T.between_separators(_text)) - 1, third=F.when(F.size(T.between_separators(_text)) > 3, T.separator_position(T.between_separators(_text), F.lit(3))))
-_on_scores("t05b_bar_at", v=T.bar_at(_text, F.lit(400)))
-_on_scores("t06_first_bars", v=T.first_bars(_text, 16))
-_on_scores("t07_key", v=T.extract_key(_text))
-_on_scores("t08_meter", meter_found=T.extract_meter(_text), length_found=T.extract_note_length(_text))
-_on_scores("t09_mask_field", no_key=T.mask_field(_text, "key"), no_meter=T.mask_field(_text, "meter"))
-_on_scores("t10_title", v=T.extract_title(_text))
-_on_scores("t11_blank", no_composer=T.blank_composer(_text), no_title=T.blank_title(_text))
-_on_scores("t12_work_id", v=T.work_id(F.col("source_id")), every_part=T.work_id_all_parts(F.col("source_id")))
-_on_scores("t13_song_id", v=T.song_id(F.col("source_id")))
-_on_scores("t18_ensure_headers", v=T.ensure_headers(_text))
-_on_scores("t19_ensure_version", v=T.ensure_version(_text))
-_on_scores("t20_cut_at", v=T.cut_at(_text, "|"))
-_on_scores("t21_truncated", v=T.truncated(_text, 500))
-_on_scores("t24_metadata_block", v=T.metadata_block(F.col("composer"), F.col("style"), F.col("musical_form"), F.col("ensemble"), F.col("part")))
-_on_scores("t25_user_prompt", v=T.user_prompt(F.col("composer"), F.col("style"), F.col("musical_form"), F.col("ensemble"), F.col("part")), short=T.user_prompt(F.col("composer"), F.col("style"), F.col("musical_form"), F.col("ensemble"), F.col("part"), bars=4))
-_on_scores("t28_numbered", v=T.numbered(F.slice(T.split_bars(_text), 1, 4)))
-_on_scores("t29_record_id", v=T.record_id(F.lit("bar_count"), F.col("pos")))
-_on_scores("t30_normal_key", v=T.normal_key(_text))
-_on_scores("p04_bar_eligibility", one=T.count_bars(_text) >= 1, four=T.count_bars(_text) >= 4, eight=T.count_bars(_text) >= 8)
-_on_scores("p02_prompt_metadata", period=F.col("style"), part=F.coalesce(T.null_if_empty(F.col("part")), F.lit("full")))
-_on_scores("p03_fallback_list", v=joined(F.when(F.size("ensemble") > 0, F.col("ensemble")).otherwise(F.col("musical_form"))))
-_on_scores("p01_without_empty", v=joined(F.filter("musical_form", lambda x: x.isNotNull() & (x != ""))))
+_on_scores("t01_strip_preamble", lambda: dict(v=T.strip_preamble(F.col("text"))))
+_on_scores("t02_split_bars", lambda: dict(v=joined(T.split_bars(F.col("text")))))
+_on_scores("t03_count_bars", lambda: dict(v=T.count_bars(F.col("text"))))
+_on_scores("t04_mask_positions", lambda: dict(v=T.mask_positions(F.col("text"))))
+_on_scores("t05_separators", lambda: dict(n=F.size(T.between_separators(F.col("text"))) - 1, third=F.when(F.size(T.between_separators(F.col("text"))) > 3, T.separator_position(T.between_separators(F.col("text")), F.lit(3)))))
+_on_scores("t05b_bar_at", lambda: dict(v=T.bar_at(F.col("text"), F.lit(400))))
+_on_scores("t06_first_bars", lambda: dict(v=T.first_bars(F.col("text"), 16)))
+_on_scores("t07_key", lambda: dict(v=T.extract_key(F.col("text"))))
+_on_scores("t08_meter", lambda: dict(meter_found=T.extract_meter(F.col("text")), length_found=T.extract_note_length(F.col("text"))))
+_on_scores("t09_mask_field", lambda: dict(no_key=T.mask_field(F.col("text"), "key"), no_meter=T.mask_field(F.col("text"), "meter")))
+_on_scores("t10_title", lambda: dict(v=T.extract_title(F.col("text"))))
+_on_scores("t11_blank", lambda: dict(no_composer=T.blank_composer(F.col("text")), no_title=T.blank_title(F.col("text"))))
+_on_scores("t12_work_id", lambda: dict(v=T.work_id(F.col("source_id")), every_part=T.work_id_all_parts(F.col("source_id"))))
+_on_scores("t13_song_id", lambda: dict(v=T.song_id(F.col("source_id"))))
+_on_scores("t18_ensure_headers", lambda: dict(v=T.ensure_headers(F.col("text"))))
+_on_scores("t19_ensure_version", lambda: dict(v=T.ensure_version(F.col("text"))))
+_on_scores("t20_cut_at", lambda: dict(v=T.cut_at(F.col("text"), "|")))
+_on_scores("t21_truncated", lambda: dict(v=T.truncated(F.col("text"), 500)))
+_on_scores("t24_metadata_block", lambda: dict(v=T.metadata_block(F.col("composer"), F.col("style"), F.col("musical_form"), F.col("ensemble"), F.col("part"))))
+_on_scores("t25_user_prompt", lambda: dict(v=T.user_prompt(F.col("composer"), F.col("style"), F.col("musical_form"), F.col("ensemble"), F.col("part")), short=T.user_prompt(F.col("composer"), F.col("style"), F.col("musical_form"), F.col("ensemble"), F.col("part"), bars=4)))
+_on_scores("t28_numbered", lambda: dict(v=T.numbered(F.slice(T.split_bars(F.col("text")), 1, 4))))
+_on_scores("t29_record_id", lambda: dict(v=T.record_id(F.lit("bar_count"), F.col("pos"))))
+_on_scores("t30_normal_key", lambda: dict(v=T.normal_key(F.col("text"))))
+_on_scores("p04_bar_eligibility", lambda: dict(one=T.count_bars(F.col("text")) >= 1, four=T.count_bars(F.col("text")) >= 4, eight=T.count_bars(F.col("text")) >= 8))
+_on_scores("p02_prompt_metadata", lambda: dict(period=F.col("style"), part=F.coalesce(T.null_if_empty(F.col("part")), F.lit("full"))))
+_on_scores("p03_fallback_list", lambda: dict(v=joined(F.when(F.size("ensemble") > 0, F.col("ensemble")).otherwise(F.col("musical_form")))))
+_on_scores("p01_without_empty", lambda: dict(v=joined(F.filter("musical_form", lambda x: x.isNotNull() & (x != "")))))
 
 # --- text on model output -----------------------------------------------------------------------
 
-_raw = F.col("raw_output")
-_on_outputs("t14_parse_answer", v=T.parse_answer(_raw, F.col("task"), F.col("template_kind")))
-_on_outputs("t15_digit_sequence", v=T.digit_sequence(_raw))
-_on_outputs("t16_bar_list", v=joined(T.bar_list(_raw)))
-_on_outputs("t17_strip_fence", v=T.strip_fence(_raw))
-_on_outputs("n01_sequencing_score", v=F.round(N.sequencing_score(_raw, F.coalesce("gold", F.lit(""))), 6))
-_on_outputs("n02_set_f1", v=F.round(N.set_f1(T.bar_list(_raw), F.transform(F.coalesce("gold_bars", F.array().cast("array<int>")), lambda b: b.cast("decimal(38,0)"))), 6))
-_on_outputs("n08_abs_diff", v=N.abs_diff(F.col("parsed_answer"), F.col("gold")).cast("bigint"))
+_on_outputs("t14_parse_answer", lambda: dict(v=T.parse_answer(F.col("raw_output"), F.col("task"), F.col("template_kind"))))
+_on_outputs("t15_digit_sequence", lambda: dict(v=T.digit_sequence(F.col("raw_output"))))
+_on_outputs("t16_bar_list", lambda: dict(v=joined(T.bar_list(F.col("raw_output")))))
+_on_outputs("t17_strip_fence", lambda: dict(v=T.strip_fence(F.col("raw_output"))))
+_on_outputs("n01_sequencing_score", lambda: dict(v=F.round(N.sequencing_score(F.col("raw_output"), F.coalesce("gold", F.lit(""))), 6)))
+_on_outputs("n02_set_f1", lambda: dict(v=F.round(N.set_f1(T.bar_list(F.col("raw_output")), F.transform(F.coalesce("gold_bars", F.array().cast("array<int>")), lambda b: b.cast("decimal(38,0)"))), 6)))
+_on_outputs("n08_abs_diff", lambda: dict(v=N.abs_diff(F.col("parsed_answer"), F.col("gold")).cast("bigint")))
 
 
 @query
@@ -393,9 +391,9 @@ def r09_limit_per_task(spark: SparkSession, d: str) -> DataFrame:
 def r11_category_fill(spark: SparkSession, d: str) -> DataFrame:
     """Which score gets which error: the pool in seeded order, filled category by category."""
     per = max(1, 220 // len(E.CATEGORIES))
-    four = scores(spark, d).where(T.count_bars(_text) >= 4).select("pos", "text")
+    four = scores(spark, d).where(T.count_bars(F.col("text")) >= 4).select("pos", "text")
     pool = P.sample(four, 8 * per * len(E.CATEGORIES), P.key(SEED, "r11", F.col("pos")), "pos").withColumn("rn", F.col("i") + 1)
-    flagged = pool.select("rn", "pos", *[E.applicable(_text, c).alias(f"ok_{c}") for c in E.CATEGORIES])
+    flagged = pool.select("rn", "pos", *[E.applicable(F.col("text"), c).alias(f"ok_{c}") for c in E.CATEGORIES])
     return R.fill_categories(flagged, 220).join(flagged.select("rn", "pos"), "rn").select("rn", "pos", "category")
 
 
@@ -407,7 +405,7 @@ def r12_rotated_field(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def r13_bar_slices(spark: SparkSession, d: str) -> DataFrame:
-    bars = T.split_bars(_text)
+    bars = T.split_bars(F.col("text"))
     return scores(spark, d).select("pos", joined(F.slice(bars, 1, 4)).alias("first"), joined(F.slice(bars, F.lit(6), F.size(bars))).alias("later"))
 
 
@@ -433,7 +431,7 @@ def u00_union_of_tasks(spark: SparkSession, d: str) -> DataFrame:
 
 def _injected(category: str) -> Query:
     def f(spark: SparkSession, d: str) -> DataFrame:
-        s = scores(spark, d).select("pos", E.inject(_text, category, P.key(SEED, F.col("pos"))).alias("h"))
+        s = scores(spark, d).select("pos", E.inject(F.col("text"), category, P.key(SEED, F.col("pos"))).alias("h"))
         return s.where("h is not null").select("pos", F.col("h.text").alias("v"), F.get("h.error_bars", F.lit(0)).alias("bar"))
 
     return f

@@ -50,7 +50,7 @@ def read_map(spark: SparkSession, path: str, fields: str) -> DataFrame:
 
     For an array the key is the entry's number.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.trim("value").alias("j"))
+    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("j"))
     kinds = f"struct<{', '.join(f.strip().replace(' ', ':', 1) for f in fields.split(','))}>"
     as_map = whole.where(F.col("j").startswith("{")).select(F.from_json("j", "map<string,string>").alias("m")).select(F.posexplode(F.map_entries("m")).alias("pos", "e")).select(F.col("e.key").alias("key"), "pos", F.col("e.value").alias("v"))
     as_list = whole.where(F.col("j").startswith("[")).select(F.posexplode(F.from_json("j", "array<string>")).alias("pos", "v")).select(F.col("pos").cast("string").alias("key"), "pos", "v")
@@ -62,7 +62,7 @@ def read_map(spark: SparkSession, path: str, fields: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.ly", recursive: bool = False) -> DataFrame:
     """``(path, stem, text)`` of whole files; bytes that are no UTF-8 are left out."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).text(path)
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=recursive)
     bare = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
     name = F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1)
     return raw.select(F.url_decode(F.regexp_replace(bare, r"\+", "%2B")).alias("path"), F.regexp_replace(F.url_decode(name), r"\.[^.]*$", "").alias("stem"), F.translate(F.make_valid_utf8("value"), "�", "").alias("text"))
@@ -205,7 +205,7 @@ def converted_manifest(manifest: DataFrame, done: DataFrame) -> DataFrame:
 def write_samples(samples: DataFrame, path: str) -> None:
     """Model outputs ``(i, raw, final)`` in two folders of text files, ``raw`` and ``final``, a file a sample."""
     for name in ("raw", "final"):
-        samples.select(F.format_string("%04d", F.col("i")).alias("sample"), F.col(name).alias("value")).repartition("sample").write.mode("overwrite").partitionBy("sample").option("lineSep", "").text(f"{path}/{name}")
+        samples.select(F.format_string("%04d", F.col("i")).alias("sample"), F.col(name).alias("value")).repartition("sample").write.mode("overwrite").partitionBy("sample").text(f"{path}/{name}")
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
