@@ -25,53 +25,73 @@ from quaver.llm.fmindex import FMIndex, Symbols, encode
 from quaver.llm.music import MAYBE, SURE, bar_hashes, confirmed, prefix, sounding, with_bars
 from quaver.llm.scratch import cut
 
-SHARD_BARS = 150_000
+#: Bars of both sides in a shard.
+SHARD_ROWS = 150_000
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shard, training): builds each shard's index, then streams its training bars; yields the bars found whole."""
+    """Rows sorted by shard and phase: 0 names the bars to index, 1 streams the training bars, 2 the evaluation bars again.
+
+    Yields the training rows whose bar is found whole, then the evaluation rows whose bar was found.
+    Held are a shard's distinct bars and its index only.
+    """
     symbols = Symbols()
-    shard, index, held = None, None, []
+    shard, index = None, None
+    bars: set[str] = set()
+    hits: set[str] = set()
     for batch in batches:
-        shards, training = batch["shard"].to_numpy(), batch["training"].to_numpy(zero_copy_only=False)
-        edges = np.flatnonzero((shards[1:] != shards[:-1]) | (training[1:] != training[:-1])) + 1
+        shards, phases = batch["shard"].to_numpy(), batch["phase"].to_numpy()
+        edges = np.flatnonzero((shards[1:] != shards[:-1]) | (phases[1:] != phases[:-1])) + 1
         for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
             if a == b:
                 continue
             if shards[a] != shard:
-                shard, index, held = shards[a], None, []
+                shard, index, bars, hits = shards[a], None, set(), set()
             text = batch["bar"].slice(a, b - a).to_pylist()
-            if not training[a]:
-                held += text
-                continue
-            if index is None:
-                index, held = FMIndex(encode(held, symbols)[0]) if held else False, []
-            if not index:
+            if phases[a] == 0:
+                bars.update(text)
                 continue
-            notes, starts = encode(text, symbols)
-            length = np.diff(np.append(starts, len(notes) - 1)) + 1
-            hit = np.flatnonzero(index.matched(notes, starts) == length)
-            if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array([text[i] for i in hit], pa.string())], ["bar"])
-
-
-def common_bars(records: DataFrame) -> DataFrame:
-    """Distinct 64-bit hashes of bars that stand in a training record and in an evaluation record.  ``records(training boolean, bars array<string>)``."""
-    each = cut(
-        records.select("training", F.explode(sounding(F.col("bars"))).alias("bar")).distinct()
-        .withColumn("tail", F.pmod(F.xxhash64(F.substring_index("bar", " ", -2)), F.lit(1 << 20)).cast("int")),
-        "distinct-bars",
+            if phases[a] == 1:
+                if not bars:
+                    continue
+                index = index or FMIndex(encode(sorted(bars), symbols)[0])
+                asked = list(set(text) - hits)
+                notes, starts = encode(asked, symbols)
+                length = np.diff(np.append(starts, len(notes) - 1)) + 1
+                hits.update(asked[k] for k in np.flatnonzero(index.matched(notes, starts) == length))
+            keep = [a + k for k, bar in enumerate(text) if bar in hits]
+            if keep:
+                rows = batch.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([rows["rep"], pa.array([bool(phases[a] == 1)] * len(keep)), rows["n"], rows["bar"]], ["rep", "training", "n", "bar"])
+
+
+def spans(classes: DataFrame) -> DataFrame:
+    """``(rep, training, n, bar)``: of ``classes(rep, training, bars)`` the bars that stand on both sides, as 64-bit hashes; n is the number of a class's bars.
+
+    Shards follow the last notes of a bar.  A shard that gets many more training rows than others,
+    because one bar is everywhere, is split; its parts share out the training rows and each has the
+    whole index.
+    """
+    tail = F.xxhash64(F.substring_index("bar", " ", -2))
+    each = classes.select("rep", "training", F.size("bars").alias("n"), F.explode("bars").alias("bar"))
+    size = classes.select("training", F.size("bars").alias("n")).groupBy("training").agg(F.sum("n").alias("n")).collect()  # two rows
+    sums = {r["training"]: r["n"] for r in size}
+    parallel = classes.sparkSession.sparkContext.defaultParallelism
+    shards = max(math.ceil(sum(sums.values()) / SHARD_ROWS), 2 * parallel)
+    sharded = each.withColumn("shard", F.pmod(tail, F.lit(shards)).cast("int"))
+    usual = max(8 * sums.get(True, 0) // shards, SHARD_ROWS)
+    parts = (
+        sharded.where("training").groupBy("shard").agg(F.count("*").alias("k")).where(F.col("k") > usual)
+        .select("shard", F.ceil(F.col("k") / usual).cast("int").alias("parts"))  # an eighth of the shards at most
     )
-    n = each.where("not training").count()
-    parallel = records.sparkSession.sparkContext.defaultParallelism
-    shards = max(math.ceil(n / SHARD_BARS), 2 * parallel)
-    found = (
-        each.select(F.pmod("tail", F.lit(shards)).alias("shard"), "training", "bar")
-        .repartition(shards, "shard")
-        .sortWithinPartitions("shard", "training")
-        .mapInArrow(_search, "bar string")
+    placed = sharded.join(F.broadcast(parts), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.when(F.col("training"), F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    phase = F.when(F.col("training"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(2)))
+    rows = placed.select("shard", "rep", "n", "bar", F.explode(part).alias("part"), phase.alias("phases")).select(
+        (F.col("part") * shards + F.col("shard")).alias("shard"), F.explode("phases").alias("phase"), "rep", "n", "bar"
     )
-    return found.select(F.xxhash64("bar").alias("bar")).distinct()
+    found = rows.repartition(shards, "shard").sortWithinPartitions("shard", "phase").mapInArrow(_search, "rep long, training boolean, n int, bar string")
+    return found.select("rep", "training", "n", F.xxhash64("bar").alias("bar")).distinct()
 
 
 def overlaps(records: DataFrame) -> DataFrame:
@@ -84,25 +104,21 @@ def overlaps(records: DataFrame) -> DataFrame:
     nothing; an empty side gives an empty result; repeated rows count once.
     """
     parsed = cut(records.where("key is not null and training is not null").select("key", "training", "bars", "class"), "music")
-    common = cut(common_bars(parsed.select("training", "bars")), "common-bars")
     classes = cut(
-        parsed.select("key", "class", "training", bar_hashes(F.col("bars")).alias("hashes"))
-        .groupBy("class", "training").agg(F.min("key").alias("rep"), F.first("hashes").alias("hashes")),
+        parsed.groupBy("class", "training").agg(F.min("key").alias("rep"), F.first("bars").alias("bars"))
+        .select("class", "training", "rep", F.array_distinct(sounding(F.col("bars"))).alias("bars")),
         "classes",
     )
-    spans = cut(
-        classes.select("rep", "training", F.size("hashes").alias("n"), F.explode("hashes").alias("bar")).join(common, "bar"),
-        "spans",
-    )
-    rated = spans.join(spans.groupBy("bar").agg(F.count("*").alias("df")), "bar")
+    common = cut(spans(classes.select("rep", "training", "bars")), "spans")
+    rated = common.join(common.groupBy("bar").agg(F.count("*").alias("df")), "bar")
     rare = cut(prefix(rated, ["rep", "training"], MAYBE).select("rep", "training", "bar"), "rare")
     of = lambda df, training, name: df.where(F.col("training") == training).select("bar", F.col("rep").alias(name))
     may = (
-        of(rare, False, "e").join(of(spans, True, "t"), "bar").select("t", "e")
-        .unionByName(of(rare, True, "t").join(of(spans, False, "e"), "bar").select("t", "e"))
+        of(rare, False, "e").join(of(common, True, "t"), "bar").select("t", "e")
+        .unionByName(of(rare, True, "t").join(of(common, False, "e"), "bar").select("t", "e"))
         .distinct()
     )
-    side = lambda name: classes.select(F.col("rep").alias(name), F.col("hashes").alias(f"_{name}"))
+    side = lambda name: classes.select(F.col("rep").alias(name), bar_hashes(F.col("bars")).alias(f"_{name}"))
     rated_pairs = cut(
         may.join(side("t"), "t").join(side("e"), "e")
         .withColumn("common", F.size(F.array_intersect("_t", "_e")) / F.least(F.size("_t"), F.size("_e")))
