@@ -46,6 +46,11 @@ def allowed(length: int) -> int:
     return max(1, length // 3)
 
 
+def reach(length: int) -> int:
+    """Distance within which entries are looked for: as one exchange of neighbours is two edits, never less than two from four letters on."""
+    return max(allowed(length), 2 if length > 3 else 1)
+
+
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([len(w) for w in words], np.int32)
     out = np.zeros((len(words), max(int(n.max(initial=0)), 1)), np.int32)
@@ -162,7 +167,7 @@ class Matcher:
         """Nearest entry of each value: ``value, term_id, edits, swaps``; no row without one in reach."""
         tree, ids = self.trees.get(field, (BKTree([]), np.zeros(0, np.int64)))
         turned = [(i, t) for i, v in enumerate(values) for t in _turns(plain(v)) if t]
-        radius = np.array([allowed(len(t)) for _, t in turned], np.int32)
+        radius = np.array([reach(len(t)) for _, t in turned], np.int32)
         q, node, d = tree.within([t for _, t in turned], radius)
         rows: dict[int, tuple] = {}
         own = np.array([i for i, _ in turned], np.int64)[q]
@@ -171,6 +176,8 @@ class Matcher:
         keep = d == least[own]
         for i, k, n, dist in zip(own[keep].tolist(), q[keep].tolist(), node[keep].tolist(), d[keep].tolist(), strict=True):
             swaps = _swaps(turned[k][1], tree.words[n]) if dist else 0
+            if min(dist, swaps) > allowed(len(turned[k][1])):
+                continue
             rows[i] = min(rows.get(i, (1 << 20, 0, 0)), (dist, swaps, int(ids[n])))
         return pd.DataFrame([(values[i], t, d, s) for i, (d, s, t) in rows.items()], columns=["value", "term_id", "edits", "swaps"])
 
