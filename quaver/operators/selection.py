@@ -31,13 +31,12 @@ def split_by_work(scores: DataFrame, train: float = 0.8, val: float = 0.1, seed:
 def number_rows(df: DataFrame, *order: str) -> DataFrame:
     """Rows numbered from 0 in column ``i`` by ``order``, without gathering them into one task.
 
-    Rows are ranged into as many buckets as there are shuffle partitions by the leading hex digits of
-    the first ordering column; numbers are the row's rank in its bucket plus the rows of the buckets
-    before.  The first ordering column must be a hex string such as md5 gives.
+    Rows fall into buckets by the leading four hex digits of the first ordering column; numbers are
+    the row's rank in its bucket plus the rows of the buckets before.  The first ordering column must be a hex string such as md5 gives.
     """
-    bucketed = df.withColumn("_b", F.substring(order[0], 1, 3))
+    bucketed = df.withColumn("_b", F.substring(order[0], 1, 4))
     sizes = bucketed.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).drop("_n")  # 4096 rows at most
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).drop("_n")  # 65536 rows at most
     w = Window.partitionBy("_b").orderBy(*order)
     return bucketed.withColumn("_r", F.row_number().over(w)).join(F.broadcast(before), "_b").withColumn("i", F.col("_r") - 1 + F.col("_before")).drop("_b", "_r", "_before")
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as ty
 from quaver.functions import text as T
 from quaver.functions.numeric import descriptor_stats
 from quaver.operators.joins import resolve_works
+from quaver.sources.scratch import scratch
 
 MIN_CHARS = 40
 SCORE = """pos bigint, source_id string, source_file string, text string, composer string, title string, style string, key string,
@@ -103,6 +104,22 @@ def enriched(df: DataFrame) -> DataFrame:
     return df.withColumns({"title": T.extract_title(c), "key": T.extract_key(c), "meter": T.extract_meter(c), "note_length": T.extract_note_length(c)})
 
 
+def numbered_by(df: DataFrame, column: str, number: str = "pos") -> DataFrame:
+    """Rows with the rank, from 0, of their value in ``column``.
+
+    The distinct values alone are sorted, in ranges; the ranges are written before they are counted,
+    so that a value can't change its range when a task is run again.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "ranges")
+    df.select(column).distinct().repartitionByRange(F.col(column)).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    before = ranged.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n"))  # a row a range
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(column)) - 1
+    ranks = ranged.withColumn("_r", rank).join(F.broadcast(before), "_range").select(column, (F.col("_r") + F.col("_before")).alias(number))
+    return df.join(ranks, column)
+
+
 def _as_scores(df: DataFrame) -> DataFrame:
     fields = [f.strip().split(" ", 1) for f in SCORE.replace("\n", " ").replace("map<string,string>", "map<string;string>").split(",")]
     types = {n: t.replace(";", ",") for n, t in fields}
@@ -113,13 +130,12 @@ def works_corpus(spark: SparkSession, folder: str, works: str) -> DataFrame:
     """Scores of a folder of ``*.ly`` files with the metadata of their works, found by the longest key that begins the file name."""
     files = read_texts(spark, folder)
     meta = read_map(spark, works, WORK).select(F.col("key").alias("work_key"), "entry.*")
-    named = resolve_works(files, meta).join(meta, "work_key", "left")
+    named = numbered_by(resolve_works(files, meta).join(meta, "work_key", "left"), "path")
     lists = {"musical_form": text_list(F.col("musical_form")), "ensemble": F.when(F.size(text_list(F.col("ensemble"))) > 0, text_list(F.col("ensemble"))).otherwise(text_list(F.col("midi_instruments")))}
     return _as_scores(
         enriched(named).withColumns({
             "source_id": F.col("stem"), "source_file": F.col("path"), "composer": T.null_if_empty(F.col("composer")), "style": T.null_if_empty(F.col("period")),
             "extras": F.when(F.col("part").isNotNull(), F.create_map(F.lit("part"), F.col("part"))).otherwise(F.create_map().cast("map<string,string>")), **lists,
-            "pos": F.rank().over(Window.orderBy("path")) - 1,
         })
     )
 
