@@ -7,6 +7,8 @@ before a line feed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,11 +26,22 @@ PART_SUFFIX = r"(?d)_part(?U:\d)+$|_(score|violin[oI]+|viola|cello|basso|bc|cont
 ANY_PART_SUFFIX = r"(?d)_(?:part\d+|score|violino?[12I]*|viola|cello|basso|bc|continuo|flauto\d*|tromba\d*|corno\d*|oboe\d*|fagotto\d*)$"
 LILYPOND_VERSION, LILYPOND_LANGUAGE = "2.24.4", "nederlands"
 FENCE = r"```[a-zA-Z0-9_+-]*(?U:\s)*\n"
+ONLY_INDEX = "Please only output the index of the correct option (0, 1, 2, or 3), do not output any additional content."
+DIRECTLY = "Please directly output the answer of the given task, without any explanation or additional content."
+UNNAMED, PERIOD, SOME_FORM, SOME_ENSEMBLE = "an unnamed 18th-century composer", "Baroque", "a short piece", "a small ensemble"
+WRITE, COMPOSE = "Write a LilyPond fragment ", "Compose a short LilyPond fragment of approximately {} bars "
+ONE_VOICE = ", optionally with simple accompaniment (chords or a bass line — at most one extra voice). Avoid full multi-instrument scores. "
+NOTATION = "Use Dutch (nederlands) note names and lowercase relative notation. Output only the LilyPond code; no prose, no markdown."
 TRUNCATED = "\n% ...truncated...\n"
 METADATA_OPEN, METADATA_CLOSE = "%% === METADATA ===", "%% === END METADATA ==="
 MULTIPLE_CHOICE, STRUCTURED = "multiple_choice", "structured_output"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, of any kind."""
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
@@ -50,8 +63,8 @@ def strip_preamble(c: Column) -> Column:
 
 def split_bars(c: Column) -> Column:
     """The segments closed by ``|``, trimmed, without empty ones."""
-    parts = F.split(strip_preamble(c), r"\|", -1)
-    return F.filter(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), strip), lambda b: b != "")
+    closed = let(F.split(strip_preamble(c), r"\|", -1), lambda parts: F.slice(parts, F.lit(1), F.size(parts) - 1))
+    return F.filter(F.transform(closed, strip), lambda b: b != "")
 
 
 def count_bars(c: Column) -> Column:
@@ -60,9 +73,12 @@ def count_bars(c: Column) -> Column:
 
 def _blank_out(c: Column, pattern: str) -> Column:
     """Each match replaced by as many blanks."""
-    between = F.split(c, pattern, -1)
-    pads = F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda m: F.repeat(F.lit(" "), F.length(m)))
-    return F.array_join(F.zip_with(between, F.concat(pads, F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    def padded(text: Column) -> Column:
+        pads = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.repeat(F.lit(" "), F.length(m)))
+        return F.array_join(F.zip_with(F.split(text, pattern, -1), pads, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return let(c, padded)
 
 
 def mask_positions(c: Column) -> Column:
@@ -89,8 +105,7 @@ def bar_at(c: Column, position: Column) -> Column:
 
 def first_bars(c: Column, k: int) -> Column:
     """The first ``k`` bars written anew; a text without bars as it is."""
-    bars = split_bars(c)
-    return F.when(F.size(bars) == 0, c).otherwise(F.concat(F.array_join(F.slice(bars, 1, k), " | "), F.lit(" |\n")))
+    return let(split_bars(c), lambda bars: F.when(F.size(bars) == 0, c).otherwise(F.concat(F.array_join(F.slice(bars, 1, k), " | "), F.lit(" |\n"))))
 
 
 # --- declarations -------------------------------------------------------------------------------
@@ -235,19 +250,16 @@ def truncated(c: Column, limit: int | None) -> Column:
 
 # --- prompts ------------------------------------------------------------------------------------
 
-_ONLY_INDEX = "Please only output the index of the correct option (0, 1, 2, or 3), do not output any additional content."
-_DIRECTLY = "Please directly output the answer of the given task, without any explanation or additional content."
-
 
 def choice_prompt(content: Column, instruction: Column, options: Column) -> Column:
     """Prompt of a question with exactly four options; any other number raises."""
     listed = F.array_join(F.transform(options, lambda o, i: F.concat(i.cast("string"), F.lit(". "), o)), "\n")
-    text = F.concat(F.lit("Input: "), content, F.lit("\nTask: "), instruction, F.lit("\nOptions:\n"), listed, F.lit("\n\n" + _ONLY_INDEX))
+    text = F.concat(F.lit("Input: "), content, F.lit("\nTask: "), instruction, F.lit("\nOptions:\n"), listed, F.lit("\n\n" + ONLY_INDEX))
     return F.when(F.size(options) == 4, text).otherwise(F.raise_error(F.lit("a question needs exactly 4 options")))
 
 
 def structured_prompt(content: Column, instruction: Column, template: Column) -> Column:
-    return F.concat(F.lit("Input: "), content, F.lit("\nTask: "), instruction, F.lit("\nTemplate: "), template, F.lit("\n\n" + _DIRECTLY))
+    return F.concat(F.lit("Input: "), content, F.lit("\nTask: "), instruction, F.lit("\nTemplate: "), template, F.lit("\n\n" + DIRECTLY))
 
 
 def numbered(items: Column) -> Column:
@@ -277,17 +289,16 @@ def user_prompt(composer: Column, period: Column, musical_form: Column, ensemble
     def joined(c: Column, default: str) -> Column:
         return F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise(F.lit(default))
 
-    style = [F.lit("in the style of "), either(composer, "an unnamed 18th-century composer"), F.lit(" ("), either(period, "Baroque"), F.lit("). Form: "), joined(musical_form, "a short piece")]
+    style = [F.lit("in the style of "), either(composer, UNNAMED), F.lit(" ("), either(period, PERIOD), F.lit("). Form: "), joined(musical_form, SOME_FORM)]
     which = either(part, "full")
-    close = "Use Dutch (nederlands) note names and lowercase relative notation. Output only the LilyPond code; no prose, no markdown."
     if bars is not None and bars > 0:
         target = F.when(which == "full", F.lit("a melodic line")).otherwise(F.concat(F.lit("the "), which, F.lit(" part as a melodic line")))
         return F.concat(
-            F.lit(f"Compose a short LilyPond fragment of approximately {bars} bars "), *style, F.lit(". Write "), target,
-            F.lit(", optionally with simple accompaniment (chords or a bass line — at most one extra voice). Avoid full multi-instrument scores. " + close),
+            F.lit(COMPOSE.format(bars)), *style, F.lit(". Write "), target,
+            F.lit(ONE_VOICE + NOTATION),
         )
     target = F.when(which == "full", F.lit("the full ensemble score")).otherwise(F.concat(F.lit("the "), which, F.lit(" part")))
-    return F.concat(F.lit("Write a LilyPond fragment "), *style, F.lit(". Ensemble: "), joined(ensemble, "a small ensemble"), F.lit(". Produce "), target, F.lit(". " + close))
+    return F.concat(F.lit(WRITE), *style, F.lit(". Ensemble: "), joined(ensemble, SOME_ENSEMBLE), F.lit(". Produce "), target, F.lit(". " + NOTATION))
 
 
 def rendered_chat(system: Column, user: Column) -> Column:

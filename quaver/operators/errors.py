@@ -52,13 +52,23 @@ def tokens(text: Column, category: str) -> Column:
 
 def inject(text: Column, category: str, key: Column) -> Column:
     """``struct(text, error_bars, category)``, null where the error is not applicable.  ``key`` seeds the choice of bar and token."""
-    ok = applicable(text, category)
+    def made(changed: Column, bar: Column) -> Column:
+        return F.struct(changed.alias("text"), F.array(bar).alias("error_bars"), F.lit(category).alias("category"))
+
     if category == "invalid_metadata":
-        changed, bar = F.regexp_replace(text, rf"(?s)\A(.*?){T.KEY}", "$1" + NONSENSE_KEY.replace("\\", "\\\\")), F.lit(1)
-    else:
-        pieces = T.between_separators(text)
-        bar = (number_of(F.concat(key, F.lit(":bar"))) % (F.size(pieces) - 1) + 1).cast("int")
-        at = T.separator_position(pieces, bar)
-        token = pick_one(tokens(text, category), F.concat(key, F.lit(":token")))
-        changed = F.concat(F.substring(text, F.lit(1), at), token, F.substring(text, at + 1, F.length(text)))
-    return F.when(ok, F.struct(changed.alias("text"), F.array(bar).alias("error_bars"), F.lit(category).alias("category")))
+        nonsense = "$1" + NONSENSE_KEY.replace("\\", "\\\\")
+        return F.when(applicable(text, category), made(F.regexp_replace(text, rf"(?s)\A(.*?){T.KEY}", nonsense), F.lit(1)))
+    token = pick_one(tokens(text, category), F.concat(key, F.lit(":token")))
+    meant = text.rlike(T.TIME) if category == "invalid_bar_duration" else F.lit(True)
+    applicable(text, category)  # an unknown category raises
+
+    def into(pieces: Column) -> Column:
+        bar = (number_of(F.concat(key, F.lit(":bar"))) % F.greatest(F.size(pieces) - 1, F.lit(1)) + 1).cast("int")
+
+        def at(place: Column) -> Column:
+            changed = F.concat(F.substring(text, F.lit(1), place), token, F.substring(text, place + 1, F.length(text)))
+            return F.when((F.size(pieces) > 2) & meant, made(changed, bar))
+
+        return T.let(T.separator_position(pieces, bar), at)
+
+    return T.let(T.between_separators(text), into)

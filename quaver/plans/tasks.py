@@ -25,19 +25,48 @@ template_kind string, gold string, options array<string>, gold_index int, struct
 shuffled_indices array<int>, question_field string, clip_id string, song_id string, gold_bars array<int>, category string"""
 RECORD_COLUMNS = [c.strip().split(" ")[0] for c in RECORD.replace("\n", " ").split(",")]
 
+# What each task asks for, and the form of structured answers.
+INSTRUCTIONS = {
+    "bar_count": "Count the number of bars in the LilyPond score above. Output a single integer.",
+    "bar_sequencing": "The bars below are shuffled and labelled with indices 0..3. Output the indices in the correct sequential order as a single digit string (for example, 0312).",
+    "composer_recognition": "Select the most likely composer of the score from the four options.",
+    "emotion_recognition": "Select the most likely Russell valence-arousal quadrant for the score from the four options. Q1 = high valence + high arousal, "
+    "Q2 = low valence + high arousal, Q3 = low valence + low arousal, Q4 = high valence + low arousal.",
+    "error_detection": "The score below may contain one or more erroneous bars (invalid metadata, garbage content, wrong bar duration, "
+    "implausible melodic leap, or accidental outside the declared key). Identify the 1-indexed bar numbers where the errors occur. "
+    "Output the numbers as a space-separated list (e.g. '3 7 12'). If no errors are present, output 'none'.",
+    "genre_recognition": "Select the most likely genre of the score from the four options.",
+    "metadata_prediction": "The score has one metadata field masked. Predict the value of that field from the four options based on the musical content.",
+    "metadata_qa": "Select the value of the queried metadata field from the four options. The relevant field is given in the question.",
+    "music_captioning": "Select the most likely title for the score from the four options.",
+    "next_bar_prediction": "Given the opening bars of the score, select the option that is most likely to be the next bar.",
+}
+TEMPLATES = {
+    "bar_count": "<integer>",
+    "bar_sequencing": "<four-digit index permutation, no separator>",
+    "error_detection": "<space-separated integer bar numbers, or 'none'>",
+}
+
 REGISTRY: dict[str, type[Task]] = {}
 
 
 class Task(ABC):
-    """One task; subclasses set ``name``, ``kind``, ``instruction`` and, for structured answers, ``template``."""
+    """One task; subclasses set ``name`` and ``kind``.  What is asked comes from ``INSTRUCTIONS``, or ``instruction`` if a subclass sets it."""
 
     name = ""
     kind = T.MULTIPLE_CHOICE
-    instruction = ""
     template = ""
     default_n = 60
     corpus_kind = "scores"
 
+    @property
+    def instruction(self) -> str:
+        return INSTRUCTIONS[self.name]
+
+    @property
+    def template(self) -> str:
+        return TEMPLATES[self.name]
+
     @abstractmethod
     def build(self, scores: DataFrame, n: int, seed: int) -> DataFrame: ...
 
@@ -120,8 +149,6 @@ def _draw(df: DataFrame, task: Task, n: int, seed: int) -> DataFrame:
 @register
 class BarCount(Task):
     name, kind, default_n = "bar_count", T.STRUCTURED, 100
-    instruction = "Count the number of bars in the LilyPond score above. Output a single integer."
-    template = "<integer>"
 
     def build(self, scores: DataFrame, n: int, seed: int) -> DataFrame:
         counted = scores.withColumn("bars", T.count_bars(F.col("text"))).where("bars >= 1")
@@ -138,11 +165,6 @@ class BarCount(Task):
 @register
 class BarSequencing(Task):
     name, kind, default_n = "bar_sequencing", T.STRUCTURED, 119
-    instruction = (
-        "The bars below are shuffled and labelled with indices 0..3. Output the indices in the correct sequential order as a single "
-        "digit string (for example, 0312)."
-    )
-    template = "<four-digit index permutation, no separator>"
 
     def build(self, scores: DataFrame, n: int, seed: int) -> DataFrame:
         four = scores.withColumn("bars", T.split_bars(F.col("text"))).where(F.size("bars") >= 4)
@@ -173,20 +195,17 @@ class _Pooled(Choice):
 class ComposerRecognition(_Pooled):
     name, default_n, column = "composer_recognition", 96, "composer"
     blank = staticmethod(T.blank_composer)
-    instruction = "Select the most likely composer of the score from the four options."
 
 
 @register
 class GenreRecognition(_Pooled):
     name, default_n, column = "genre_recognition", 132, "style"
-    instruction = "Select the most likely genre of the score from the four options."
 
 
 @register
 class MusicCaptioning(_Pooled):
     name, default_n, column, before = "music_captioning", 60, "title", True
     blank = staticmethod(T.blank_title)
-    instruction = "Select the most likely title for the score from the four options."
 
 
 class _Metadata(Choice):
@@ -208,19 +227,16 @@ class _Metadata(Choice):
 @register
 class MetadataQa(_Metadata):
     name, question = "metadata_qa", "Field"
-    instruction = "Select the value of the queried metadata field from the four options. The relevant field is given in the question."
 
 
 @register
 class MetadataPrediction(_Metadata):
     name, hide, question = "metadata_prediction", True, "Masked field"
-    instruction = "The score has one metadata field masked. Predict the value of that field from the four options based on the musical content."
 
 
 @register
 class NextBar(Choice):
     name, default_n = "next_bar_prediction", 119
-    instruction = "Given the opening bars of the score, select the option that is most likely to be the next bar."
 
     def build(self, scores: DataFrame, n: int, seed: int) -> DataFrame:
         eight = scores.withColumn("bars", T.split_bars(F.col("text"))).where(F.size("bars") >= 8)
@@ -233,10 +249,6 @@ class NextBar(Choice):
 @register
 class EmotionRecognition(Choice):
     name, default_n, corpus_kind = "emotion_recognition", 120, "clips"
-    instruction = (
-        "Select the most likely Russell valence-arousal quadrant for the score from the four options. Q1 = high valence + high arousal, "
-        "Q2 = low valence + high arousal, Q3 = low valence + low arousal, Q4 = high valence + low arousal."
-    )
 
     def build(self, scores: DataFrame, n: int, seed: int) -> DataFrame:
         clips = scores.where(F.col("label").isin(*S.QUADRANTS))
@@ -253,12 +265,6 @@ class EmotionRecognition(Choice):
 @register
 class ErrorDetection(Task):
     name, kind, default_n = "error_detection", T.STRUCTURED, 220
-    instruction = (
-        "The score below may contain one or more erroneous bars (invalid metadata, garbage content, wrong bar duration, "
-        "implausible melodic leap, or accidental outside the declared key). Identify the 1-indexed bar numbers where the errors occur. "
-        "Output the numbers as a space-separated list (e.g. '3 7 12'). If no errors are present, output 'none'."
-    )
-    template = "<space-separated integer bar numbers, or 'none'>"
 
     def build(self, scores: DataFrame, n: int, seed: int) -> DataFrame:
         per = max(1, n // len(CATEGORIES))
