@@ -14,6 +14,8 @@ SURE, MAYBE, CHANGED = 0.5, 0.3, 0.2
 _COMMENT = r"%\{(?s:.*?)%\}|%[^\n]*"
 _STATEMENT = r"\\key\s+\S+\s*\\\w+|\\time\s+\d+\s*/\s*\d+|\\tempo\s+(?:\"[^\"]*\"\s*)?(?:[^|\n={}]*=\s*\d+(?:\s*-\s*\d+)?)?|\\(?:clef|language|version|bar)\s+(?:\"[^\"]*\"|\S+)"
 _MARK = r"\\[A-Za-z]+|\\[<>!]|[-_^][.^>!_+-]|[~()\[\]]"
+# looking at the first character alone spares most places the alternatives
+_STRIPPED = rf"(?=[\\\-_^~()\[\]])(?:{_STATEMENT}|{_MARK})"
 _REST = r"^(?:[rRs][\d.*/]*(?: |$))+$"
 _NUMBER = r"(?m)^\s*\d+\.\s+"
 
@@ -26,10 +28,10 @@ def bars(text: Column) -> Column:
     tempo, comments, marks, empty bars and layout are left out.  Null gives null, a text without
     music an empty array.
     """
-    bare = F.regexp_replace(text, _COMMENT, "")
+    bare = F.when(text.contains("%"), F.regexp_replace(text, _COMMENT, "")).otherwise(text)
     block = F.regexp_extract(bare, r"(?s)=\s*\{(.*)\}", 1)
     body = F.when(block != "", block).otherwise(F.regexp_replace(bare, _NUMBER, "|"))
-    plain = F.regexp_replace(body, f"{_STATEMENT}|{_MARK}", "")
+    plain = F.regexp_replace(body, _STRIPPED, "")
     # one blank between notes, none beside bar lines
     tidy = F.regexp_replace(F.regexp_replace(plain, r"\s+", " "), r" ?\| ?", "|")
     return F.filter(F.split(F.trim(tidy), r"\|"), lambda b: b != "")
