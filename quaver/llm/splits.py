@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaver.llm.components import connected_components
@@ -233,10 +233,8 @@ def assign_splits(scores: DataFrame, plan: DataFrame, seed: int = 0, label: Colu
 def split_report(assigned: DataFrame, plan: DataFrame) -> DataFrame:
     """Per split: rows, components, share got and share asked for."""
     got = assigned.groupBy("split").agg(F.count("*").alias("n_rows"), F.countDistinct("group_pos").alias("n_groups"))
-    total = assigned.agg(F.count("*").alias("total"))
-    return (
-        plan.select("split", F.col("share").alias("target_share"))
-        .join(got, "split", "left")
-        .crossJoin(F.broadcast(total))
-        .select("split", "target_share", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_groups", F.lit(0)).alias("n_groups"), F.coalesce(F.try_divide("n_rows", "total"), F.lit(0.0)).alias("got_share"))
-    )
+    rows = F.coalesce("n_rows", F.lit(0))
+    return plan.select("split", F.col("share").alias("target_share")).join(got, "split", "left").select(
+        "split", "target_share", rows.alias("n_rows"), F.coalesce("n_groups", F.lit(0)).alias("n_groups"),
+        F.coalesce(F.try_divide(rows, F.sum(rows).over(Window.partitionBy())), F.lit(0.0)).alias("got_share"),
+    )
