@@ -7,9 +7,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quaver.llm.scratch import cut
+
 #: From this share of common bars on two records hold the same music without a look at their notes;
-#: below MAYBE they don't; between, at most CHANGED of the notes of the shorter one may differ.
-SURE, MAYBE, CHANGED = 0.5, 0.3, 0.2
+#: below, at most CHANGED of the notes of the shorter one may differ.  Looked at are all pairs with
+#: MAYBE of the bars in common and all that one changed note in EDIT can leave (see :func:`with_need`).
+SURE, MAYBE, CHANGED, EDIT = 0.5, 0.25, 0.2, 8
+#: Bars of at least LONG notes are also cut into all their runs of RUN notes.
+RUN, LONG = 4, 7
 
 _COMMENT = r"%\{(?s:.*?)%\}|%[^\n]*"
 _STATEMENT = r"\\key\s+\S+\s*\\\w+|\\time\s+\d+\s*/\s*\d+|\\tempo\s+(?:\"[^\"]*\"\s*)?(?:[^|\n={}]*=\s*\d+(?:\s*-\s*\d+)?)?|\\(?:clef|language|version|bar)\s+(?:\"[^\"]*\"|\S+)"
@@ -59,22 +64,78 @@ def bar_hashes(bars: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(sounding(bars), lambda b: F.xxhash64(b))))
 
 
-def prefix(postings: DataFrame, doc: str | list[str], share: float) -> DataFrame:
-    """The rarest bars of each document, so many that any ``share`` of its bars must touch them.
+def with_need(df: DataFrame, bars: str) -> DataFrame:
+    """Adds ``need``, the least number of distinct sounding bars a record has in common with any it must be compared with, and ``dense``.
+
+    One note in EDIT of the shorter record may be changed, so of its N notes and D distinct bars at
+    least D - N div EDIT bars are left as they are, at least one if it has more bars than changes.
+    A ``dense`` record has not: every bar of it may be changed, and its runs of notes are looked up too.
+    """
+    notes = F.aggregate(F.col("_s"), F.lit(0), lambda n, b: n + F.size(F.split(b, " ")))
+    distinct = F.size(F.array_distinct("_s"))
+    edits = F.floor(notes / EDIT).cast("int")
+    return (
+        df.withColumn("_s", sounding(F.col(bars)))
+        .withColumn("need", F.greatest(F.lit(1), F.least(F.ceil(distinct * MAYBE).cast("int"), distinct - edits)))
+        .withColumn("edits", edits)
+        .withColumn("dense", F.size("_s") <= edits)
+        .drop("_s")
+    )
+
+
+def prefix(postings: DataFrame, doc: str | list[str]) -> DataFrame:
+    """The rarest bars of each document, so many that any ``need`` of its bars must touch them.
 
-    ``postings(doc, n, bar, df)`` holds only bars with a possible partner, ``n`` is the number of
-    distinct bars of the document.  Of n bars, ceil(share n) must be common, so the n - ceil(share n)
-    + 1 rarest contain one of them; bars without any partner are the rarest and take their places.
+    ``postings(doc, need, bar, df)`` holds only bars with a possible partner; those without one are
+    the rarest and could be no evidence.  All but the need - 1 most frequent bars are kept.
     """
     doc = [doc] if isinstance(doc, str) else doc
-    keep = F.col("n") - F.ceil(F.col("n") * share) + 1 - (F.col("n") - F.size("l"))
+    keep = F.size("l") - F.col("need") + 1
     return (
-        postings.groupBy(*doc, "n")
+        postings.groupBy(*doc, "need")
         .agg(F.array_sort(F.collect_list(F.struct("df", "bar"))).alias("l"))
         .where(keep > 0)
-        .select(*doc, "n", F.explode(F.slice("l", F.lit(1), keep.cast("int"))).alias("p"))
-        .select(*doc, "n", F.col("p.bar").alias("bar"), F.col("p.df").alias("df"))
+        .select(*doc, "need", F.explode(F.slice("l", F.lit(1), keep.cast("int"))).alias("p"))
+        .select(*doc, "need", F.col("p.bar").alias("bar"), F.col("p.df").alias("df"))
+    )
+
+
+def _runs(bars: Column) -> Column:
+    """Distinct 64-bit hashes of all runs of RUN notes in the long bars."""
+    long = F.filter(F.transform(bars, lambda b: F.split(b, " ")), lambda w: F.size(w) >= LONG)
+    return F.array_distinct(F.flatten(F.transform(long, lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (RUN - 1)), lambda i: F.xxhash64(F.slice(w, i, RUN))))))
+
+
+def dense_pairs(records: DataFrame, within: bool) -> DataFrame:
+    """``(x, y)``: dense records x and records y that have enough runs of notes in common, though maybe no bar.
+
+    ``records(rep, side, bars, edits, dense)``; y is of the other side, or any other record if ``within``.
+    A changed note touches RUN runs at most, or one bar of fewer than LONG notes (which counts as
+    RUN runs; if a long bar gets short, all its runs are lost by no fewer changes).  So where no bar is common,
+    G runs and D short bars leave G + RUN (D - edits) common runs, which the rarest but so many must touch.
+    """
+    short = F.size(F.filter(F.array_distinct("s"), lambda b: F.size(F.split(b, " ")) < LONG))
+    held = cut(
+        records.select("rep", "side", "dense", "edits", sounding(F.col("bars")).alias("s"))
+        .withColumn("runs", _runs(F.col("s")))
+        .where(F.size("runs") > 0)
+        .select("rep", "side", "dense", F.greatest(F.lit(1), F.size("runs") + RUN * (short - F.col("edits"))).alias("need"), "runs"),
+        "runs",
     )
+    each = held.select("rep", "side", F.explode("runs").alias("bar"))
+    wanted = held.where("dense").select("rep", "side", "need", F.explode("runs").alias("bar"))
+    asked = wanted.select("bar").distinct()
+    there = cut(each.join(asked, "bar", "left_semi"), "asked-runs")
+    if within:
+        df = there.groupBy("bar").agg(F.count("*").alias("df")).where("df > 1")
+    else:
+        df = there.groupBy("bar").agg(F.count("*").alias("df"), F.countDistinct("side").alias("k")).where("k > 1").drop("k")
+    # all common runs are counted, so that only pairs with enough of them are looked at note by note
+    rare = prefix(wanted.join(df, "bar"), ["rep", "side"]).select(F.col("rep").alias("x"), F.col("side").alias("sx"), "bar", "need")
+    other = there.select(F.col("rep").alias("y"), F.col("side").alias("sy"), "bar")
+    pairs = rare.join(other, "bar").where((F.col("x") != F.col("y")) if within else (F.col("sx") != F.col("sy"))).select("x", "y", "need").distinct()
+    side = lambda n: held.select(F.col("rep").alias(n), F.col("runs").alias(f"_{n}"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").where(F.size(F.array_intersect("_x", "_y")) >= F.col("need")).select("x", "y")
 
 
 def _common_run(a: list[str], b: list[str]) -> int:

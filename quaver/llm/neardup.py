@@ -2,16 +2,18 @@
 
 A count-vector R-tree finds the pairs: the bars of a score are its tokens, hashed into groups; the
 counts per group are a point; for two points the sum of coordinate minima bounds the number of
-common bars from above.  Surviving pairs are verified by the exact number of common bars.
+common bars from above.  Surviving pairs are verified by the exact number of common bars, and by their
+notes if it is small.  Records whose every bar may be changed are looked up by runs of notes too.
 
 Over all scores one such tree has no selectivity (tokens of unrelated scores fill the same groups,
 and the boxes of inner nodes cover everything), so its top level is split by a token instead: the
-records are routed to one subtree for each of their rarest bars, so many that no pair above the
-threshold can be parted (see :func:`quaver.llm.music.prefix`).  Within a subtree, records sorted by
-their points are packed into leaves with bounding boxes.
+subtree of a bar holds all records with that bar, and each record is looked up in the subtrees of its
+own rarest bars, so many that no pair above its own threshold can be parted, whatever the size of the
+other (see :func:`quaver.llm.music.prefix`).  Within a subtree, records sorted by their points are
+packed into leaves with bounding boxes.
 
 Records with the same bag of bars are one class and go in once, so copies cost nothing; a subtree of
-more than ``CELL`` classes is split into pairs of cells that run as separate tasks.
+more than ``CELL`` classes is split into cells, each visited by all records looked up there.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaver.llm.components import connected_components
-from quaver.llm.music import MAYBE, SURE, bar_hashes, confirmed, prefix, with_bars
+from quaver.llm.music import SURE, bar_hashes, confirmed, dense_pairs, prefix, with_bars, with_need
 from quaver.llm.scratch import cut
 
 GROUPS = 64
@@ -75,15 +77,15 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True))
 
 
-def _links(ids: np.ndarray, bars: list[np.ndarray], left: np.ndarray) -> Iterator[tuple[int, int, bool]]:
-    """Links within one subtree that are needed to hold its groups together: sure ones, and those whose notes must be looked at.
+def _links(ids: np.ndarray, bars: list[np.ndarray], need: np.ndarray, asks: np.ndarray, held: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    """Links within one cell that are needed to hold its groups together: sure ones, and those whose notes must be looked at.
 
-    Pairs already connected here are not verified again: a group of g records costs about g checks
-    and leaves g - 1 links.  ``left`` marks the first of two cells; pairs within the second one
-    belong to another task.
+    ``asks`` marks records that are looked up here, ``held`` those of this cell; a record is looked
+    up among those held, in need of ``need`` common bars.  Pairs already connected here are not
+    verified again: a group of g records costs about g checks and leaves g - 1 links.
     """
-    n = len(ids)
-    if n < 2:
+    n, at = len(ids), np.flatnonzero(held)
+    if n < 2 or not len(at):
         return
     parent = np.arange(n)
 
@@ -94,21 +96,23 @@ def _links(ids: np.ndarray, bars: list[np.ndarray], left: np.ndarray) -> Iterato
         return i
 
     sizes = np.array([len(b) for b in bars])
-    if n <= LEAF:  # a single leaf
-        points = _points(bars)
-        near = lambda i: np.flatnonzero(np.minimum(points, points[i]).sum(axis=1) >= MAYBE * np.minimum(sizes, sizes[i]))
+    points = _points([bars[i] for i in at])
+    if len(at) <= LEAF:  # a single leaf
+        near = lambda i: np.flatnonzero(np.minimum(points, _points([bars[i]])[0]).sum(axis=1) >= np.minimum(need[i], sizes[at]))
     else:
-        tree = CountTree(_points(bars), sizes)
-        near = lambda i: tree.search(_points([bars[i]])[0], sizes[i], MAYBE)
-    within = bool(left.all())
-    for i in np.flatnonzero(left):
-        for j in near(i):
-            if (j > i if within else not left[j]) and (a := find(i)) != (b := find(j)):
-                common = _common(bars[i], bars[j]) / min(sizes[i], sizes[j])
-                if common >= SURE:
-                    parent[b] = a
-                if common >= MAYBE:
-                    yield (ids[i], ids[j], common >= SURE)
+        tree = CountTree(points, sizes[at])
+        near = lambda i: tree.search(_points([bars[i]])[0], sizes[i], need[i] / sizes[i])
+    for i in np.flatnonzero(asks):
+        for j in at[near(i)]:
+            # of two that are both looked up, the lesser need counts once
+            if ids[i] == ids[j] or asks[j] and (need[j], ids[j]) < (need[i], ids[i]) or (a := find(i)) == (b := find(j)):
+                continue
+            common = _common(bars[i], bars[j])
+            sure = common >= SURE * min(sizes[i], sizes[j])
+            if sure:
+                parent[b] = a
+            if sure or common >= need[i]:
+                yield (ids[i], ids[j], sure)
 
 
 def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,37 +135,26 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
     out: list[tuple[int, int, bool]] = []
     if len(pdf):
         bar, cell = pdf["bar"].to_numpy(), pdf["cell"].to_numpy()
-        ids, left, bars = pdf["rep"].to_numpy(), pdf["first"].to_numpy(), pdf["hashes"].to_numpy()
+        ids, bars, need, asks, held = (pdf[c].to_numpy() for c in ("rep", "hashes", "need", "asks", "held"))
         edges = np.flatnonzero((bar[1:] != bar[:-1]) | (cell[1:] != cell[:-1])) + 1
         for a, b in zip([0, *edges], [*edges, len(pdf)], strict=True):
-            out += _links(ids[a:b], list(bars[a:b]), left[a:b])
+            out += _links(ids[a:b], list(bars[a:b]), need[a:b], asks[a:b], held[a:b])
     return pd.DataFrame(out, columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": "bool"})
 
 
 def routed(reps: DataFrame) -> DataFrame:
-    """``(bar, cell, first, rep, hashes)``: each class beside every subtree (and pair of cells) it must be looked up in.  ``reps(rep, hashes)``, hashes sorted and distinct."""
-    each = reps.select("rep", F.size("hashes").alias("n"), F.explode("hashes").alias("bar"))
+    """``(bar, cell, asks, held, rep, need, hashes)``: each class in its cell of the subtree of every bar that any class is looked up by, and in all cells where it is looked up.  ``reps(rep, need, hashes)``, hashes sorted and distinct."""
+    each = reps.select("rep", "need", F.explode("hashes").alias("bar"))
     common = each.groupBy("bar").agg(F.count("*").alias("df")).where("df > 1")
-    route = cut(prefix(each.join(common, "bar"), "rep", MAYBE), "routes")
-    members = route.groupBy("bar").agg(F.count("*").alias("members")).where("members > 1")
-    cells = F.ceil(F.col("members") / CELL).cast("int")
+    route = cut(prefix(each.join(common, "bar"), "rep").select("bar", "rep", "df", F.lit(True).alias("asks")), "routes")
+    cells = route.groupBy("bar").agg(F.ceil(F.first("df") / CELL).cast("int").alias("cells"))
     own = F.pmod(F.xxhash64("rep", "bar"), F.col("cells")).cast("int")
-    # a subtree of m cells is run as the pairs (i, j), i <= j; a record of cell c goes into those with i = c or j = c
-    pairs = F.when(F.col("cells") == 1, F.array(F.struct(F.lit(0).alias("cell"), F.lit(True).alias("first")))).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.col("cells") - 1),
-            lambda o: F.struct((F.least(o, "own") * F.col("cells") + F.greatest(o, "own")).alias("cell"), (F.col("own") <= o).alias("first")),
-        )
-    )
-    return (
-        route.select("bar", "rep")
-        .join(members, "bar")
-        .withColumn("cells", cells)
-        .withColumn("own", own)
-        .select("bar", "rep", F.explode(pairs).alias("p"))
-        .select("bar", "rep", "p.cell", "p.first")
-        .join(reps, "rep")
+    placed = (
+        each.select("bar", "rep").join(cells, "bar").join(route.select("bar", "rep", "asks"), ["bar", "rep"], "left")
+        .select("bar", "rep", F.coalesce("asks", F.lit(False)).alias("asks"), own.alias("own"), "cells")
     )
+    into = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array("own"))
+    return placed.select("bar", "rep", "asks", "own", F.explode(into).alias("cell")).select("bar", "rep", "cell", "asks", (F.col("cell") == F.col("own")).alias("held")).join(reps, "rep")
 
 
 def near_duplicates(scores: DataFrame) -> DataFrame:
@@ -172,16 +165,22 @@ def near_duplicates(scores: DataFrame) -> DataFrame:
     no music have no row; a score like no other is its own group; other columns are not read.
     """
     parsed = cut(with_bars(scores.where("pos is not null").select("pos", "text"), "text"), "bars")
-    reps = cut(parsed.select("pos", "class", bar_hashes(F.col("bars")).alias("hashes")).groupBy("class").agg(F.min("pos").alias("rep"), F.first("hashes").alias("hashes")), "classes")
+    reps = cut(
+        with_need(parsed.groupBy("class").agg(F.min("pos").alias("rep"), F.first("bars").alias("bars")), "bars")
+        .select("class", "rep", "need", "edits", "dense", "bars", bar_hashes(F.col("bars")).alias("hashes")),
+        "classes",
+    )
     links = cut(
-        routed(reps.select("rep", "hashes"))
+        routed(reps.select("rep", "need", "hashes"))
         .repartition("bar", "cell")
         .sortWithinPartitions("bar", "cell")
-        .select("bar", "cell", "first", "rep", "hashes")
+        .select("bar", "cell", "asks", "held", "rep", "need", "hashes")
         .mapInPandas(_subtrees, "a long, b long, sure boolean"),
         "links",
     )
-    noted = confirmed(links.where("not sure"), parsed.select("pos", "bars"), "a", "b", "pos")
+    dense = dense_pairs(reps.select("rep", F.lit(True).alias("side"), "bars", "edits", "dense"), within=True)
+    maybe = links.where("not sure").select("a", "b").unionByName(dense.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    noted = confirmed(maybe, parsed.select("pos", "bars"), "a", "b", "pos")
     roots = connected_components(links.where("sure").select("a", "b").unionByName(noted))
     named = reps.select("class", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("class", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("group_pos"))
     return parsed.select("pos", "class").distinct().join(named, "class").select("pos", "class_id", "group_pos")

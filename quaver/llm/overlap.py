@@ -5,7 +5,8 @@ The bars of the evaluation records are held in compressed full-text indexes
 a training bar is looked up in one shard only, whatever the number of shards.  Training bars are
 streamed through backward search; a bar's maximal match that spans it from separator to separator is
 a common span.  Spans are then merged per pair of records: the rarest bars of a record name its
-possible partners, and a pair is an overlap if enough bars of the shorter record are common.
+possible partners, and a pair is an overlap if enough bars of the shorter record are common, or, of
+fewer bars, nearly all notes.  Records whose every bar may be changed are looked up by runs of notes too.
 
 Records with the same bag of bars are one class up to the last step, so copies are not compared
 again.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaver.llm.fmindex import FMIndex, Symbols, encode
-from quaver.llm.music import MAYBE, SURE, bar_hashes, confirmed, prefix, sounding, with_bars
+from quaver.llm.music import SURE, bar_hashes, confirmed, dense_pairs, prefix, sounding, with_bars, with_need
 from quaver.llm.scratch import cut
 
 #: Bars of both sides in a shard.
@@ -62,18 +63,18 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = [a + k for k, bar in enumerate(text) if bar in hits]
             if keep:
                 rows = batch.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([rows["rep"], pa.array([bool(phases[a] == 1)] * len(keep)), rows["n"], rows["bar"]], ["rep", "training", "n", "bar"])
+                yield pa.RecordBatch.from_arrays([rows["rep"], pa.array([bool(phases[a] == 1)] * len(keep)), rows["need"], rows["bar"]], ["rep", "training", "need", "bar"])
 
 
 def spans(classes: DataFrame) -> DataFrame:
-    """``(rep, training, n, bar)``: of ``classes(rep, training, bars)`` the bars that stand on both sides, as 64-bit hashes; n is the number of a class's bars.
+    """``(rep, training, need, bar)``: of ``classes(rep, training, need, bars)`` the bars that stand on both sides, as 64-bit hashes.
 
     Shards follow the last notes of a bar.  A shard that gets many more training rows than others,
     because one bar is everywhere, is split; its parts share out the training rows and each has the
     whole index.
     """
     tail = F.xxhash64(F.substring_index("bar", " ", -2))
-    each = classes.select("rep", "training", F.size("bars").alias("n"), F.explode("bars").alias("bar"))
+    each = classes.select("rep", "training", "need", F.explode("bars").alias("bar"))
     size = classes.select("training", F.size("bars").alias("n")).groupBy("training").agg(F.sum("n").alias("n")).collect()  # two rows
     sums = {r["training"]: r["n"] for r in size}
     parallel = classes.sparkSession.sparkContext.defaultParallelism
@@ -87,11 +88,11 @@ def spans(classes: DataFrame) -> DataFrame:
     placed = sharded.join(F.broadcast(parts), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.when(F.col("training"), F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     phase = F.when(F.col("training"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(2)))
-    rows = placed.select("shard", "rep", "n", "bar", F.explode(part).alias("part"), phase.alias("phases")).select(
-        (F.col("part") * shards + F.col("shard")).alias("shard"), F.explode("phases").alias("phase"), "rep", "n", "bar"
+    rows = placed.select("shard", "rep", "need", "bar", F.explode(part).alias("part"), phase.alias("phases")).select(
+        (F.col("part") * shards + F.col("shard")).alias("shard"), F.explode("phases").alias("phase"), "rep", "need", "bar"
     )
-    found = rows.repartition(shards, "shard").sortWithinPartitions("shard", "phase").mapInArrow(_search, "rep long, training boolean, n int, bar string")
-    return found.select("rep", "training", "n", F.xxhash64("bar").alias("bar")).distinct()
+    found = rows.repartition(shards, "shard").sortWithinPartitions("shard", "phase").mapInArrow(_search, "rep long, training boolean, need int, bar string")
+    return found.select("rep", "training", "need", F.xxhash64("bar").alias("bar")).distinct()
 
 
 def overlaps(records: DataFrame) -> DataFrame:
@@ -100,33 +101,40 @@ def overlaps(records: DataFrame) -> DataFrame:
     ``records(key bigint, training boolean, bars array<string>, class bigint)`` as of
     :func:`evaluation_records`: a key is on one side only.  A pair
     overlaps if at least ``SURE`` of the distinct bars of the record with fewer bars are common, or
-    ``MAYBE`` of them and all but few of its notes.  Records without text or music overlap with
+    all but few of its notes are: every pair with at most one changed note in ``EDIT`` is found, none with
+    more than ``CHANGED``, and between these those with ``MAYBE`` of the bars in common.  Records without text or music overlap with
     nothing; an empty side gives an empty result; repeated rows count once.
     """
     parsed = cut(records.where("key is not null and training is not null").select("key", "training", "bars", "class"), "music")
     classes = cut(
-        parsed.groupBy("class", "training").agg(F.min("key").alias("rep"), F.first("bars").alias("bars"))
-        .select("class", "training", "rep", F.array_distinct(sounding(F.col("bars"))).alias("bars")),
+        with_need(parsed.groupBy("class", "training").agg(F.min("key").alias("rep"), F.first("bars").alias("bars")), "bars")
+        .select("class", "training", "rep", "need", "edits", "dense", F.array_distinct(sounding(F.col("bars"))).alias("bars")),
         "classes",
     )
-    common = cut(spans(classes.select("rep", "training", "bars")), "spans")
+    common = cut(spans(classes.select("rep", "training", "need", "bars")), "spans")
     rated = common.join(common.groupBy("bar").agg(F.count("*").alias("df")), "bar")
-    rare = cut(prefix(rated, ["rep", "training"], MAYBE).select("rep", "training", "bar"), "rare")
+    rare = cut(prefix(rated, ["rep", "training"]).select("rep", "training", "bar"), "rare")
     of = lambda df, training, name: df.where(F.col("training") == training).select("bar", F.col("rep").alias(name))
     may = (
         of(rare, False, "e").join(of(common, True, "t"), "bar").select("t", "e")
         .unionByName(of(rare, True, "t").join(of(common, False, "e"), "bar").select("t", "e"))
         .distinct()
     )
-    side = lambda name: classes.select(F.col("rep").alias(name), bar_hashes(F.col("bars")).alias(f"_{name}"))
+    side = lambda name: classes.select(F.col("rep").alias(name), F.col("need").alias(f"{name}_need"), bar_hashes(F.col("bars")).alias(f"_{name}"))
+    n = F.size(F.array_intersect("_t", "_e"))
     rated_pairs = cut(
         may.join(side("t"), "t").join(side("e"), "e")
-        .withColumn("common", F.size(F.array_intersect("_t", "_e")) / F.least(F.size("_t"), F.size("_e")))
-        .where(F.col("common") >= MAYBE)
-        .select("t", "e", "common"),
+        .where(n >= F.least("t_need", "e_need"))
+        .select("t", "e", (n / F.least(F.size("_t"), F.size("_e"))).alias("common")),
         "pairs",
     )
-    noted = confirmed(rated_pairs.where(F.col("common") < SURE), parsed.select("key", "bars"), "t", "e", "key")
+    dense = dense_pairs(classes.select("rep", F.col("training").alias("side"), "bars", "edits", "dense"), within=False)
+    named_sides = dense.join(classes.select(F.col("rep").alias("x"), "training"), "x").select(
+        F.when(F.col("training"), F.col("x")).otherwise(F.col("y")).alias("t"), F.when(F.col("training"), F.col("y")).otherwise(F.col("x")).alias("e")
+    )
+    looked = rated_pairs.where(F.col("common") < SURE).select("t", "e").unionByName(named_sides).distinct()
+    unsure = looked.join(rated_pairs.where(F.col("common") >= SURE).select("t", "e"), ["t", "e"], "left_anti")
+    noted = confirmed(unsure, parsed.select("key", "bars"), "t", "e", "key")
     sure = rated_pairs.where(F.col("common") >= SURE).select("t", "e").unionByName(noted)
     named = parsed.select("key", "training", "class").distinct().join(classes.select("class", "training", "rep"), ["class", "training"])
     return (

@@ -202,6 +202,58 @@ def test_count_tree_finds_all():
         assert set(real) <= set(np.flatnonzero(may))
 
 
+def few_changed(a, b):
+    """At most one note in eight of the shorter music has no partner in the other, by its notes alone."""
+    def run(x, y):
+        row = [0] * (len(y) + 1)
+        for v in x:
+            old = row[:]
+            for j, w in enumerate(y, 1):
+                row[j] = old[j - 1] + 1 if v == w else max(old[j], row[j - 1])
+        return row[-1]
+
+    a, b = sorted(([bar.split() for bar in r] for r in (a, b)), key=lambda r: sum(map(len, r)))
+    return sum(len(bar) - max(run(bar, o) for o in b) for bar in a) * 8 <= sum(map(len, a))
+
+
+def changed_scores(rng):
+    """Pairs of bar lists that differ in one note of eight at most, some of them in every bar, and the changed ones' bars moved."""
+    note = lambda: rng.choice("abcdefg") + rng.choice(["", ",", "'"]) + rng.choice(["4", "8", "16"])
+    made = []
+    for length, n, edits, bars_hit in [(16, 16, 12, 12), (16, 16, 16, 16), (16, 12, 24, 12), (8, 14, 14, 14), (9, 16, 16, 16), (6, 16, 12, 12), (7, 15, 13, 13), (None, 20, None, 20), (None, 20, None, 20)] * 2:
+        base = [[note() for _ in range(length or rng.randint(3, 16))] for _ in range(n)]
+        other = [list(b) for b in base]
+        for k in range(edits if edits is not None else sum(map(len, base)) // 8 - 2):
+            b = other[k % bars_hit]
+            at = rng.randrange(len(b))
+            kind = rng.choice("cccid") if edits is None else "c"
+            if kind == "d" and len(b) > 2:
+                del b[at]
+            elif kind == "i":
+                b.insert(at, note() + ".")
+            else:
+                b[at] = note() + "."
+        rng.shuffle(other)
+        made.append(([" ".join(b) for b in base], [" ".join(b) for b in other]))
+    own = [f"a{k} b{k} c{k} d{k}" for k in range(100)]
+    return [*made, (own, own[40:50])]  # an excerpt whose other bars nothing else has
+
+
+def test_few_changed_notes_are_found_in_whatever_bars(spark):
+    pairs = changed_scores(random.Random(6))
+    flat = [bars_ for pair in pairs for bars_ in pair]
+    want = {(i, j) for i, j in itertools.combinations(range(len(flat)), 2) if few_changed(flat[i], flat[j])}
+    assert want >= {(i, i + 1) for i in range(0, len(flat), 2) if few_changed(flat[i], flat[i + 1])} and len(want) > len(pairs) * 0.8
+    sets = Sets()
+    for i, j in want:
+        sets.join(i, j)
+    rows = [(i, " | ".join(b)) for i, b in enumerate(flat)]
+    got = {r["pos"]: r["group_pos"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "pos long, text string")).collect()}
+    assert got == {i: sets.find(i) for i in range(len(flat))}
+    records = music.with_bars(spark.createDataFrame([(i, i % 2 == 0, t) for i, t in rows], "key long, training boolean, text string"), "text")
+    assert {tuple(sorted(r)) for r in overlap.overlaps(records).collect()} == {(i, j) for i, j in want if i % 2 != j % 2}
+
+
 # --- overlaps -----------------------------------------------------------------------------------
 
 
