@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaver.functions.numeric import abs_diff, sequencing_score, set_f1
 from quaver.functions.text import bar_list
+from quaver.sources.scratch import scratch
 
 QUADRANTS = ("Q1", "Q2", "Q3", "Q4")
+#: Values in one list of a group.
+LIST_ROWS = 1000
 
 
 def accuracy(pred: Column, gold: Column) -> Column:
@@ -96,9 +99,22 @@ def split_stats(df: DataFrame, split: str, work: str, composer: str) -> DataFram
     return df.groupBy(split).agg(F.count("*").alias("files"), F.countDistinct(work).alias("works"), F.countDistinct(F.expr(f"nullif({composer}, '')")).alias("composers"))
 
 
-def group_lists(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Values of each key in a sorted list; a null key reads ``None``.  For small groups only: a list is one row."""
-    return df.groupBy(F.coalesce(F.col(by).cast("string"), F.lit("None")).alias(by)).agg(F.array_sort(F.collect_list(value)).alias("values"))
+def group_lists(df: DataFrame, by: str, value: str, size: int = LIST_ROWS) -> DataFrame:
+    """``(by, chunk, values)``: values of each key in sorted lists of ``size``, chunks from 0 on; a null key reads ``None``.
+
+    Rows are ranked within ranges of key and value, so no group is brought together, however large.
+    The ranges are written before they are counted, so that a row can't change its range when a task
+    is run again.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, "groups")
+    keyed = df.select(F.coalesce(F.col(by).cast("string"), F.lit("None")).alias(by), F.col(value).alias("_v"))
+    keyed.repartitionByRange(F.col(by), F.col("_v")).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    before = ranged.groupBy(by, "_range").agg(F.count("*").alias("_n"))  # a row a range and group
+    before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy(by).orderBy("_range")) - F.col("_n"))
+    rank = F.row_number().over(Window.partitionBy(by, "_range").orderBy("_v")) - 1
+    ranked = ranged.withColumn("_r", rank).join(before, [by, "_range"]).withColumn("chunk", F.floor((F.col("_r") + F.col("_before")) / size).cast("bigint"))
+    return ranked.groupBy(by, "chunk").agg(F.array_sort(F.collect_list("_v")).alias("values"))
 
 
 def top_counts(df: DataFrame, value: str, k: int = 5) -> DataFrame:

@@ -301,7 +301,8 @@ def a11_first_seen(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def a12_group_lists(spark: SparkSession, d: str) -> DataFrame:
-    return S.group_lists(_t(spark, d, "bench").where("category is not null"), "category", "rec_no").select("category", joined(F.col("values")).alias("v"))
+    """Records of every category, those of none as ``None``.  The SQL leaves out records without a category and knows no chunks."""
+    return S.group_lists(_t(spark, d, "bench"), "category", "rec_no").select("category", "chunk", joined(F.col("values")).alias("v"))
 
 
 @query

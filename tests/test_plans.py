@@ -244,3 +244,21 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads((tmp_path / "g.json").read_text())["compile_rate"] == 0
     assert cli.main(["understanding", "build", "--manifest", "/no/such.json", "--out", "x"], spark) == 2
     assert "is not there" in capsys.readouterr().err
+
+
+def test_group_lists_hold_every_record(spark, sf):
+    bench = spark.read.parquet(f"{sf}/bench.parquet").select("category", "rec_no").toPandas()
+    want = {}
+    for category, rec_no in bench.itertuples(index=False):
+        want.setdefault("None" if category is None else category, []).append(rec_no)
+    got = {}
+    for r in sorted(catalog.QUERIES["a12_group_lists"](spark, sf).collect(), key=lambda r: (r["category"], r["chunk"])):
+        got.setdefault(r["category"], []).extend(map(int, r["v"].split("\x1f")))
+    assert got == {k: sorted(v) for k, v in want.items()} and "None" in got
+
+
+def test_large_groups_are_no_single_row(spark):
+    df = spark.createDataFrame([(None if i % 10 else "a", (i * 37) % 500) for i in range(500)], "k string, v long").repartition(5)
+    got = {(r["k"], r["chunk"]): r["values"] for r in S.group_lists(df, "k", "v", 7).collect()}
+    for k, want in (("None", sorted((i * 37) % 500 for i in range(500) if i % 10)), ("a", sorted((i * 37) % 500 for i in range(0, 500, 10)))):
+        assert {c: v for (g, c), v in got.items() if g == k} == {c: want[c * 7 : c * 7 + 7] for c in range(-(-len(want) // 7))}
