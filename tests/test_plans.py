@@ -262,3 +262,13 @@ def test_large_groups_are_no_single_row(spark):
     got = {(r["k"], r["chunk"]): r["values"] for r in S.group_lists(df, "k", "v", 7).collect()}
     for k, want in (("None", sorted((i * 37) % 500 for i in range(500) if i % 10)), ("a", sorted((i * 37) % 500 for i in range(0, 500, 10)))):
         assert {c: v for (g, c), v in got.items() if g == k} == {c: want[c * 7 : c * 7 + 7] for c in range(-(-len(want) // 7))}
+
+
+def test_descriptor_stats_read_every_event(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "value").toPandas()
+    g = events.groupby("user_id", dropna=False)["value"]
+    want = {"polyphony_rate": g.mean(), "groove_consistency": g.max() - g.min(), "scale_consistency": g.size().astype(float)}
+    got = {r["metric"]: r for r in catalog.QUERIES["a08_descriptor_stats"](spark, sf).collect()}
+    assert set(got) == set(want) and events["value"].notna().all()
+    for metric, v in want.items():
+        assert (got[metric]["mean"], got[metric]["std"], got[metric]["n"]) == (pytest.approx(v.mean(), abs=1e-5), pytest.approx(v.std(), abs=1e-5), v.count())
