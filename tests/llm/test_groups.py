@@ -254,6 +254,14 @@ def test_few_changed_notes_are_found_in_whatever_bars(spark):
     assert {tuple(sorted(r)) for r in overlap.overlaps(records).collect()} == {(i, j) for i, j in want if i % 2 != j % 2}
 
 
+def test_excerpts_of_scores_with_rare_bars(spark):
+    own = [f"a{k} b{k} c{k} d{k}" for k in range(100)]
+    rows = [(1, own), (2, own[:10])] + [(10 + k, own[k : k + 2] + [f"e{k} f{k} g{j}" for j in range(10)]) for k in range(10)]
+    made = spark.createDataFrame([(p, " | ".join(b)) for p, b in rows], "pos long, text string")
+    got = {r["pos"]: r["group_pos"] for r in neardup.near_duplicates(made).collect()}
+    assert got == {1: 1, 2: 1} | {10 + k: 10 + k for k in range(10)}
+
+
 # --- overlaps -----------------------------------------------------------------------------------
 
 
