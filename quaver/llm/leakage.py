@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,34 +149,54 @@ def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """``(hash, text number, place of the first word, words per text)`` of all shingles of ``WORDS`` words."""
     word, owner = word_hashes(texts)
     words = np.bincount(owner, minlength=len(texts)) if len(owner) else np.zeros(len(texts), np.int64)
-    n = len(word) - WORDS + 1
+    return *_shingles(word, owner, words, WORDS), words
+
+
+def _shingles(word: np.ndarray, owner: np.ndarray, words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(hash, text number, place of the first word)`` of all shingles of ``width`` words."""
+    n = len(word) - width + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none, none, none, words
-    h = np.zeros(n, np.uint64)
-    for k in range(WORDS):
+        return none, none, none
+    h = np.full(n, WORDS - width, np.uint64)
+    for k in range(width):
         h = h * _ODD + word[k : k + n]
     h ^= h >> np.uint64(31)
-    inside = owner[:n] == owner[WORDS - 1 :]
+    inside = owner[:n] == owner[width - 1 :]
     first = np.concatenate(([0], np.cumsum(words)))[:-1]
     at = np.arange(n)[inside]
-    return h[inside].view(np.int64), owner[:n][inside], at - first[owner[:n][inside]], words
+    return h[inside].view(np.int64), owner[:n][inside], at - first[owner[:n][inside]]
+
+
+def item_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`shingle_hashes`; a text of fewer than ``WORDS`` words has one shingle of its own length."""
+    word, owner = word_hashes(texts)
+    words = np.bincount(owner, minlength=len(texts)) if len(owner) else np.zeros(len(texts), np.int64)
+    found = [_shingles(word, owner, words, WORDS)]
+    for width in range(1, WORDS):
+        h, of, at = _shingles(word, owner, words, width)
+        own = words[of] == width
+        found.append((h[own], of[own], at[own]))
+    return *(np.concatenate(c) for c in zip(*found, strict=True)), words
 
 
-def _hits(wanted: np.ndarray):
-    """For mapInArrow: documents' shingles among the sorted ``wanted``."""
+def _hits(wanted: np.ndarray, widths: list[int]):
+    """For mapInArrow: documents' shingles of ``widths`` words among the sorted ``wanted``."""
     bits = 22
     sieve = np.zeros(1 << bits, bool)
     sieve[(wanted.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, doc, at, _ = shingle_hashes(b["text"].to_pylist())
-            may = np.flatnonzero(sieve[(h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)])
-            place = np.searchsorted(wanted, h[may])
-            found = may[wanted[np.minimum(place, len(wanted) - 1)] == h[may]]
-            ids = b["doc_id"].to_numpy()[doc[found]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h[found], pa.int64()), pa.array(at[found], pa.int32())], ["doc_id", "h", "at"])
+            word, owner = word_hashes(b["text"].to_pylist())
+            words = np.bincount(owner, minlength=b.num_rows) if len(owner) else np.zeros(b.num_rows, np.int64)
+            for width in widths:
+                h, doc, at = _shingles(word, owner, words, width)
+                may = np.flatnonzero(sieve[(h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)])
+                place = np.searchsorted(wanted, h[may])
+                found = may[wanted[np.minimum(place, len(wanted) - 1)] == h[may]]
+                ids = b["doc_id"].to_numpy()[doc[found]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h[found], pa.int64()), pa.array(at[found], pa.int32())], ["doc_id", "h", "at"])
 
     return run
 
@@ -230,14 +250,14 @@ def _chain(places: np.ndarray) -> int:
 
 @F.pandas_udf(T.DoubleType())
 def _share(item_at: pd.Series, doc_at: pd.Series, words: pd.Series) -> pd.Series:
-    return pd.Series([covered(np.asarray(a), np.asarray(b), int(w)) / max(int(w), 1) for a, b, w in zip(item_at, doc_at, words, strict=True)], dtype=float)
+    return pd.Series([min(covered(np.asarray(a), np.asarray(b), int(w)) / max(int(w), 1), 1.0) for a, b, w in zip(item_at, doc_at, words, strict=True)], dtype=float)
 
 
 def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """``(item_id, doc_id, share)``: documents that hold at least ``share`` of an item's words in its order.
 
     ``docs(doc_id, text)``, ``items(item_id, text)``; null and empty texts hold and are held by
-    nothing; an item of fewer than ``WORDS`` words has no shingle and is not found; repeated items
+    nothing; an item of fewer than ``WORDS`` words is found where all of it stands; repeated items
     or documents under one id count as one.
     """
     spark = docs.sparkSession
@@ -248,7 +268,7 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     for block in range(blocks):
         part = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else known
         pdf = part.toPandas()  # at most about BLOCK_ITEMS items
-        h, owner, at, words = shingle_hashes(pdf["text"].tolist())
+        h, owner, at, words = item_shingles(pdf["text"].tolist())
         cuts = range(0, max(len(h), 1), BLOCK_SHINGLES)
         table = pd.DataFrame({"item_id": pdf["item_id"].to_numpy(np.int64)[owner], "h": h, "item_at": at.astype(np.int32), "words": words[owner].astype(np.int32)})
         for c in cuts:
@@ -265,23 +285,27 @@ def _slice_ids(table: pd.DataFrame, start: int) -> np.ndarray:
 
 def _leaks_of(spark, docs: DataFrame, table: pd.DataFrame, share: float) -> DataFrame:
     wanted = np.unique(table["h"].to_numpy(np.int64))
+    widths = sorted({WORDS, *table["words"].clip(upper=WORDS).tolist()})
     schema = "item_id long, h long, item_at int, words int"
     places = spark.createDataFrame(table.astype({"h": "int64"}), schema) if len(table) else spark.createDataFrame([], schema)
     if not len(wanted):
         wanted = np.zeros(1, np.int64)
     hits = cut(
-        docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_hits(wanted), "doc_id long, h long, at int").distinct(),
+        docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_hits(wanted, widths), "doc_id long, h long, at int").distinct(),
         "hits",
     )
     rarity = hits.groupBy("h").agg(F.countDistinct("doc_id").alias("df"))
-    # a document that covers share * words of an item by runs of shingles holds at least this many different shingles
+    # a document that covers share * words of an item by runs of shingles has at least this many places of
+    # it; a shingle counts by its places.  Left out are the most frequent shingles that have fewer places together
     need = F.greatest(F.lit(1), F.ceil(F.col("words") * share / WORDS).cast("int"))
+    later = Window.partitionBy("item_id").orderBy(F.desc("df"), F.desc("h"))
     ranked = (
-        places.join(rarity, "h", "left")
-        .groupBy("item_id", "words")
-        .agg(F.array_sort(F.collect_set(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h"))).alias("l"))
-        .select("item_id", F.explode(F.slice("l", F.lit(1), F.greatest(F.size("l") - need + 1, F.lit(1)))).alias("p"), need.alias("need"))
-        .select("item_id", "need", F.col("p.h").alias("h"))
+        places.groupBy("item_id", "words", "h").agg(F.count("*").alias("places"))
+        .join(rarity, "h", "left")
+        .withColumn("df", F.coalesce("df", F.lit(0)))
+        .withColumn("upto", F.sum("places").over(later))
+        .where(F.col("upto") >= need)
+        .select("item_id", need.alias("need"), "h")
     )
     small = F.broadcast if len(table) <= BLOCK_SHINGLES else (lambda x: x)
     may = hits.join(small(ranked), "h").select("item_id", "doc_id").distinct()

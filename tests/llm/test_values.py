@@ -249,6 +249,18 @@ def test_leak_edges(spark, monkeypatch):
     assert leakage.leaks(docs_of(spark, docs), made([])).count() == 0 and leakage.leaks(docs_of(spark, []), made(items)).count() == 0
 
 
+def test_leaks_of_repeated_and_short_items(spark):
+    turn = [f"t{i}" for i in range(6)]
+    # few different shingles stand in most places, and document 30 has but two of them, the most frequent ones
+    item = [*(f"u{i}" for i in range(60)), *(turn * 17)]
+    docs = [(1, " ".join(turn * 17)), (2, "one Two, three"), (3, "one two"), (4, "x one two three four y"), (5, "solo"), (30, " ".join([*turn, "x"] * 17))]
+    docs += [(10 + k, " ".join(item[:20])) for k in range(3)] + [(20 + k, " ".join(turn * 17)) for k in range(5)]
+    items = [(1, " ".join(item), 1), (2, "one two three", 1), (3, "Solo", 1), (4, "two one", 1), (5, " ".join(turn * 30), 1)]
+    got = {(r["item_id"], r["doc_id"]) for r in leakage.leaks(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string, words int")).collect()}
+    held = {1, 30, *range(20, 25)}
+    assert got == {(1, d) for d in held} | {(5, d) for d in held} | {(2, 2), (2, 4), (3, 5)}
+
+
 # --- consistent forms ---------------------------------------------------------------------------
 
 
