@@ -99,12 +99,16 @@ def moments(df: DataFrame, vector: str, *by: str) -> DataFrame:
     """``(by..., n, mean array, cov array)``: mean and sample covariance (row by row) of a vector column.
 
     Each Arrow batch is reduced to sums of outer products about a common shift before anything is
-    shuffled, so a set of any size is reduced by partial sums of one d x d block each.
+    shuffled, so a set of any size is reduced by partial sums of one d x d block each.  Null and
+    empty vectors don't count; vectors of more than one length raise.
     """
     import pandas as pd
 
-    d_row = df.select(F.size(vector).alias("d")).where("d > 0").first()
-    d = int(d_row["d"]) if d_row else 0
+    size = F.when(F.size(vector) > 0, F.size(vector))
+    least, most = df.agg(F.min(size), F.max(size)).first()
+    if least != most:
+        raise ValueError(f"vectors of one length are needed, got lengths from {least} to {most}")
+    d = most or 0
     names = list(by)
 
     def part(batches):

@@ -272,3 +272,12 @@ def test_descriptor_stats_read_every_event(spark, sf):
     assert set(got) == set(want) and events["value"].notna().all()
     for metric, v in want.items():
         assert (got[metric]["mean"], got[metric]["std"], got[metric]["n"]) == (pytest.approx(v.mean(), abs=1e-5), pytest.approx(v.std(), abs=1e-5), v.count())
+
+
+def test_moments_need_vectors_of_one_length(spark):
+    rows = [("a", [1.0, 2.0]), ("a", [3.0, 4.0]), ("b", [1.0, 2.0, 3.0]), ("b", None), ("b", [])]
+    df = spark.createDataFrame(rows, "label string, v array<double>")
+    with pytest.raises(ValueError, match="from 2 to 3"):
+        N.moments(df, "v", "label")
+    r = N.moments(df.where("size(v) <> 3 or v is null"), "v", "label").collect()
+    assert [(x["label"], x["n"], x["mean"]) for x in r] == [("a", 2, [2.0, 3.0])]
