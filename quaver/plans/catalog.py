@@ -6,6 +6,7 @@ Names begin with the operator's id in the survey.  Every query reads whole table
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -425,9 +426,10 @@ def r15_limit(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def u00_union_of_tasks(spark: SparkSession, d: str) -> DataFrame:
-    """Set operations of the reference: concatenated record lists, and the union without repeats."""
+    """Set operations of the reference: all tasks' concatenated record lists, and the union without repeats.  The SQL knows only some tasks."""
     b = _t(spark, d, "bench").select("task", "id")
-    return b.where("task like 'metadata%'").unionByName(b.where("task = 'bar_count'")).distinct()
+    lists = [b.where(F.col("task") == t.name) for t in tasks.iter_tasks()]
+    return reduce(DataFrame.unionByName, lists).distinct()
 
 
 # --- errors -------------------------------------------------------------------------------------
@@ -524,11 +526,11 @@ def s13_prompt_bank(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def s16_predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Predictions written in a folder a model and task, and those of one task read again."""
+    """Predictions written in a folder a model and task, and those of all tasks read again.  The SQL knows only one task."""
     path = scratch(spark, "predictions")
     rows = answers(spark, d).select(F.col("model_id").alias("model"), "task", "id", "raw_output", "parsed_answer", "latency_ms").where("model is not null")
     files.write_predictions(rows, path)
-    return files.read_predictions(spark, path).where("task = 'bar_count'").select("model", "id", "parsed_answer")
+    return files.read_predictions(spark, path).select("model", "task", "id", "parsed_answer")
 
 
 @query

@@ -17,6 +17,7 @@ from quaver.operators import selection as R
 from quaver.operators.errors import CATEGORIES
 from quaver.operators.joins import align
 from quaver.plans import catalog, chat, tasks
+from quaver.sources import files
 from quaver.streaming import scoring
 
 
@@ -281,3 +282,21 @@ def test_moments_need_vectors_of_one_length(spark):
         N.moments(df, "v", "label")
     r = N.moments(df.where("size(v) <> 3 or v is null"), "v", "label").collect()
     assert [(x["label"], x["n"], x["mean"]) for x in r] == [("a", 2, [2.0, 3.0])]
+
+
+def test_union_and_predictions_hold_all_tasks(spark, sf):
+    bench = spark.read.parquet(f"{sf}/bench.parquet").select("task", "id").toPandas()
+    got = catalog.QUERIES["u00_union_of_tasks"](spark, sf).collect()
+    names = {t.name for t in tasks.iter_tasks()}
+    assert sorted(map(tuple, got)) == sorted({r for r in bench.itertuples(index=False, name=None) if r[0] in names}) and {r["task"] for r in got} >= set(bench["task"].dropna()) & names
+    task_of = dict(zip(bench["id"], bench["task"], strict=True))
+    read = catalog.QUERIES["s16_predictions"](spark, sf)
+    assert len({r["task"] for r in read.collect()}) > 1 and all(task_of[r["id"]] == r["task"] for r in read.collect())
+    answered = catalog.answers(spark, sf).where("model_id is not null").select(F.col("model_id").alias("model"), "task", "id", "parsed_answer")
+    assert sorted(map(repr, map(tuple, read.collect()))) == sorted(map(repr, map(tuple, answered.collect())))
+
+
+def test_one_task_of_predictions_is_read_from_its_folder(spark, tmp_path):
+    files.write_predictions(spark.createDataFrame([("m", t, "i", "r", "p", 1) for t in ("a", "b")], "model string, task string, id string, raw_output string, parsed_answer string, latency_ms long"), str(tmp_path / "p"))
+    one = files.read_predictions(spark, str(tmp_path / "p")).where("task = 'a'")
+    assert one.count() == 1 and "PartitionFilters: [isnotnull(task" in one._jdf.queryExecution().toString()
