@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quaver.llm.scratch import cut
-
-#: From this share of common bars on two records hold the same music without a look at their notes;
-#: below, at most CHANGED of the notes of the shorter one may differ.  Looked at are all pairs with
-#: MAYBE of the bars in common and all that one changed note in EDIT can leave (see :func:`with_need`).
-SURE, MAYBE, CHANGED, EDIT = 0.5, 0.25, 0.2, 8
+#: At most one note in EDIT of the shorter record is changed, added or missing ("about": counts are
+#: rounded up); what is found is confirmed up to CHANGED of its notes, as nothing lies between.
+EDIT, CHANGED = 8, 0.2
 #: Bars of at least LONG notes are also cut into all their runs of RUN notes.
 RUN, LONG = 4, 7
 
@@ -54,117 +49,102 @@ def with_bars(df: DataFrame, text: str) -> DataFrame:
 
 
 def sounding(bars: Column) -> Column:
-    """The bars with notes; those of nothing but rests say nothing about a record, unless it has no others."""
+    """The bars with notes; those of nothing but rests are no key to look a record up by, unless it has no others.
+
+    This loses no pair: ``need`` counts the sounding bars only, while the rests count among the notes that may be changed.
+    """
     notes = F.filter(bars, lambda b: ~b.rlike(_REST))
     return F.when(F.size(notes) > 0, notes).otherwise(bars)
 
 
-def bar_hashes(bars: Column) -> Column:
-    """Sorted distinct 64-bit hashes of the sounding bars."""
-    return F.array_sort(F.array_distinct(F.transform(sounding(bars), lambda b: F.xxhash64(b))))
-
-
-def with_need(df: DataFrame, bars: str) -> DataFrame:
-    """Adds ``need``, the least number of distinct sounding bars a record has in common with any it must be compared with, and ``dense``.
+def with_keys(df: DataFrame) -> DataFrame:
+    """Adds to ``bars`` what a record is looked up by: ``notes``, ``edits``, ``tokens``, ``need`` and ``dense``.
 
-    One note in EDIT of the shorter record may be changed, so of its N notes and D distinct bars at
-    least D - N div EDIT bars are left as they are, at least one if it has more bars than changes.
-    A ``dense`` record has not: every bar of it may be changed, and its runs of notes are looked up too.
+    ``tokens`` are the sorted hashes of the distinct sounding bars.  Of a record of N notes and D
+    such bars at most ``edits`` = N / EDIT notes differ, each of them spoils one bar, so ``need`` =
+    D - ``edits`` bars stand in any other record like it.  As this holds for both records of a pair,
+    both may be looked up by their own.  A ``dense`` record may have every bar spoilt; then every bar
+    of the other is spoilt or added too, so both are dense (see :func:`dense_keys`).
     """
-    notes = F.aggregate(F.col("_s"), F.lit(0), lambda n, b: n + F.size(F.split(b, " ")))
-    distinct = F.size(F.array_distinct("_s"))
-    edits = F.floor(notes / EDIT).cast("int")
+    notes = F.size(F.split(F.array_join("bars", " "), " "))
     return (
-        df.withColumn("_s", sounding(F.col(bars)))
-        .withColumn("need", F.greatest(F.lit(1), F.least(F.ceil(distinct * MAYBE).cast("int"), distinct - edits)))
-        .withColumn("edits", edits)
-        .withColumn("dense", F.size("_s") <= edits)
+        df.withColumn("notes", notes)
+        .withColumn("edits", F.ceil(F.col("notes") / EDIT).cast("int"))
+        .withColumn("_s", sounding(F.col("bars")))
+        .withColumn("tokens", F.array_sort(F.array_distinct(F.transform("_s", lambda b: F.xxhash64(b)))))
+        .withColumn("need", F.greatest(F.lit(1), F.size("tokens") - F.col("edits")))
+        .withColumn("dense", F.size("_s") <= F.col("edits"))
         .drop("_s")
     )
 
 
-def prefix(postings: DataFrame, doc: str | list[str]) -> DataFrame:
-    """The rarest bars of each document, so many that any ``need`` of its bars must touch them.
+def dense_keys(records: DataFrame) -> DataFrame:
+    """The dense records of :func:`with_keys` with their runs of notes as ``tokens`` and the ``need`` of these.
 
-    ``postings(doc, need, bar, df)`` holds only bars with a possible partner; those without one are
-    the rarest and could be no evidence.  All but the need - 1 most frequent bars are kept.
+    A changed note spoils RUN runs at most, or one bar of fewer than LONG notes (a long bar that
+    gets short loses all its runs by no fewer changes).  Where no bar is common each of the D short
+    bars takes one change, so G runs leave G - RUN (edits - D) common ones.
     """
-    doc = [doc] if isinstance(doc, str) else doc
-    keep = F.size("l") - F.col("need") + 1
+    parted = F.transform(sounding(F.col("bars")), lambda b: F.split(b, " "))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (RUN - 1)), lambda i: F.xxhash64(F.slice(w, i, RUN)))
+    short = F.size(F.filter(F.array_distinct("_w"), lambda w: F.size(w) < LONG))
     return (
-        postings.groupBy(*doc, "need")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "bar"))).alias("l"))
-        .where(keep > 0)
-        .select(*doc, "need", F.explode(F.slice("l", F.lit(1), keep.cast("int"))).alias("p"))
-        .select(*doc, "need", F.col("p.bar").alias("bar"), F.col("p.df").alias("df"))
+        records.where("dense")
+        .withColumn("_w", parted)
+        .withColumn("tokens", F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("_w", lambda w: F.size(w) >= LONG), runs)))))
+        .where(F.size("tokens") > 0)
+        .withColumn("need", F.greatest(F.lit(1), F.size("tokens") + RUN * (short - F.col("edits"))))
+        .drop("_w")
     )
 
 
-def _runs(bars: Column) -> Column:
-    """Distinct 64-bit hashes of all runs of RUN notes in the long bars."""
-    long = F.filter(F.transform(bars, lambda b: F.split(b, " ")), lambda w: F.size(w) >= LONG)
-    return F.array_distinct(F.flatten(F.transform(long, lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (RUN - 1)), lambda i: F.xxhash64(F.slice(w, i, RUN))))))
-
-
-def dense_pairs(records: DataFrame, within: bool) -> DataFrame:
-    """``(x, y)``: dense records x and records y that have enough runs of notes in common, though maybe no bar.
+def prefix(postings: DataFrame, doc: str) -> DataFrame:
+    """The rarest tokens of each document, so many that any ``need`` of its tokens must touch them.
 
-    ``records(rep, side, bars, edits, dense)``; y is of the other side, or any other record if ``within``.
-    A changed note touches RUN runs at most, or one bar of fewer than LONG notes (which counts as
-    RUN runs; if a long bar gets short, all its runs are lost by no fewer changes).  So where no bar is common,
-    G runs and D short bars leave G + RUN (D - edits) common runs, which the rarest but so many must touch.
+    ``postings(doc, need, token, df)`` holds only tokens with a possible partner; those without one
+    are the rarest and could be no evidence.  All but the need - 1 most frequent tokens are kept.
     """
-    short = F.size(F.filter(F.array_distinct("s"), lambda b: F.size(F.split(b, " ")) < LONG))
-    held = cut(
-        records.select("rep", "side", "dense", "edits", sounding(F.col("bars")).alias("s"))
-        .withColumn("runs", _runs(F.col("s")))
-        .where(F.size("runs") > 0)
-        .select("rep", "side", "dense", F.greatest(F.lit(1), F.size("runs") + RUN * (short - F.col("edits"))).alias("need"), "runs"),
-        "runs",
+    keep = F.size("l") - F.col("need") + 1
+    return (
+        postings.groupBy(doc, "need")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("l"))
+        .where(keep > 0)
+        .select(doc, F.explode(F.slice("l", F.lit(1), keep.cast("int"))).alias("p"))
+        .select(doc, F.col("p.token").alias("token"))
     )
-    each = held.select("rep", "side", F.explode("runs").alias("bar"))
-    wanted = held.where("dense").select("rep", "side", "need", F.explode("runs").alias("bar"))
-    asked = wanted.select("bar").distinct()
-    there = cut(each.join(asked, "bar", "left_semi"), "asked-runs")
-    if within:
-        df = there.groupBy("bar").agg(F.count("*").alias("df")).where("df > 1")
-    else:
-        df = there.groupBy("bar").agg(F.count("*").alias("df"), F.countDistinct("side").alias("k")).where("k > 1").drop("k")
-    # all common runs are counted, so that only pairs with enough of them are looked at note by note
-    rare = prefix(wanted.join(df, "bar"), ["rep", "side"]).select(F.col("rep").alias("x"), F.col("side").alias("sx"), "bar", "need")
-    other = there.select(F.col("rep").alias("y"), F.col("side").alias("sy"), "bar")
-    pairs = rare.join(other, "bar").where((F.col("x") != F.col("y")) if within else (F.col("sx") != F.col("sy"))).select("x", "y", "need").distinct()
-    side = lambda n: held.select(F.col("rep").alias(n), F.col("runs").alias(f"_{n}"))
-    return pairs.join(side("x"), "x").join(side("y"), "y").where(F.size(F.array_intersect("_x", "_y")) >= F.col("need")).select("x", "y")
-
-
-def _common_run(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence of two bars."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
 
 
-def changed_notes(a: list[str], b: list[str]) -> float:
-    """Share of the notes of the record with fewer notes that have no partner in the other, bars in any order."""
-    x, y = ([bar.split(" ") for bar in r] for r in (a, b))
-    if sum(map(len, x)) > sum(map(len, y)):
-        x, y = y, x
-    whole = {tuple(bar) for bar in y}
-    found = sum(len(bar) if tuple(bar) in whole else max((_common_run(bar, o) for o in y), default=0) for bar in x)
-    return 1 - found / max(sum(map(len, x)), 1)
+def _common_run(masks: dict[str, int], length: int, b: list[str]) -> int:
+    """Length of the longest common subsequence of a bar, given as the places of each note, and another."""
+    full = (1 << length) - 1
+    v = full
+    for note in b:
+        u = v & masks.get(note, 0)
+        v = (v + u | v - u) & full
+    return length - v.bit_count()
 
 
-@F.pandas_udf(T.BooleanType())
-def _same(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([changed_notes(list(x), list(y)) <= CHANGED for x, y in zip(a, b, strict=True)], dtype="boolean")
-
-
-def confirmed(maybe: DataFrame, texts: DataFrame, a: str, b: str, doc: str) -> DataFrame:
-    """Those pairs ``maybe(a, b)`` whose music, as in ``texts(doc, bars)``, differs in few notes."""
-    one = texts.select(F.col(doc).alias(a), F.col("bars").alias("_a"))
-    two = texts.select(F.col(doc).alias(b), F.col("bars").alias("_b"))
-    return maybe.select(a, b).distinct().join(one, a).join(two, b).where(_same("_a", "_b")).select(a, b)
+def changed_notes(a: list[str], b: list[str]) -> float:
+    """Share of the notes of the record with fewer notes that have no partner in the other, bars in any order."""
+    na, nb = (sum(bar.count(" ") + 1 for bar in r) for r in (a, b))
+    x, y = (a, b) if na <= nb else (b, a)
+    there, own = set(y), set(x)
+    # a changed bar's partner is most likely one that stands in the other only
+    others = [bar.split(" ") for bar in sorted(there, key=lambda bar: bar in own)]
+    found = 0
+    for bar in x:
+        notes = bar.split(" ")
+        if bar in there:
+            found += len(notes)
+            continue
+        masks: dict[str, int] = {}
+        for k, note in enumerate(notes):
+            masks[note] = masks.get(note, 0) | 1 << k
+        best = 0
+        for o in others:
+            if len(o) > best:
+                best = max(best, _common_run(masks, len(notes), o))
+            if best >= len(notes) - 1:
+                break
+        found += best
+    return 1 - found / max(min(na, nb), 1)

@@ -1,23 +1,24 @@
 """Near-duplicate scores: groups of records whose music differs by small edits.
 
-A count-vector R-tree finds the pairs: the bars of a score are its tokens, hashed into groups; the
-counts per group are a point; for two points the sum of coordinate minima bounds the number of
-common bars from above.  Surviving pairs are verified by the exact number of common bars, and by their
-notes if it is small.  Records whose every bar may be changed are looked up by runs of notes too.
-
-Over all scores one such tree has no selectivity (tokens of unrelated scores fill the same groups,
-and the boxes of inner nodes cover everything), so its top level is split by a token instead: the
-subtree of a bar holds all records with that bar, and each record is looked up in the subtrees of its
-own rarest bars, so many that no pair above its own threshold can be parted, whatever the size of the
-other (see :func:`quaver.llm.music.prefix`).  Within a subtree, records sorted by their points are
-packed into leaves with bounding boxes.
-
-Records with the same bag of bars are one class and go in once, so copies cost nothing; a subtree of
-more than ``CELL`` classes is split into cells, each visited by all records looked up there.
+A count-vector R-tree finds the pairs.  The tokens of a score (its bars) are hashed into ``GROUPS``
+groups; the counts per group are a point; for two points the sum of coordinate minima bounds the
+number of common tokens from above.  A node's box holds for each group the largest count below it, so
+the same sum with a box bounds every point in it.  Surviving pairs are verified note by note.
+
+One tree cannot hold all scores, so trees are built in shards.  Which shards a score goes to follows
+from its rarest tokens, so many that two scores with as many common tokens as the least similar
+near-duplicates must meet in one (:func:`quaver.llm.music.with_keys`); a shard takes the scores of
+thousands of such tokens, and within it only the tree says which to compare.  Scores whose every bar
+may be changed go through trees over their runs of notes too.
+
+Records with the same bag of bars are one class and go in once, so copies cost nothing.  A token of
+more than ``CELL`` classes is split into cells: each class is held in one and looked up in those
+after it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,161 +27,163 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaver.llm.components import connected_components
-from quaver.llm.music import SURE, bar_hashes, confirmed, dense_pairs, prefix, with_bars, with_need
+from quaver.llm.music import CHANGED, changed_notes, dense_keys, prefix, with_bars, with_keys
 from quaver.llm.scratch import cut
 
-GROUPS = 64
-LEAF = 32
-CELL = 2000
-
-
-def _points(rows: list[np.ndarray]) -> np.ndarray:
-    """Counts of each row's tokens per group."""
-    out = np.zeros((len(rows), GROUPS), np.int16)
-    n = [len(r) for r in rows]
-    if sum(n):
-        np.add.at(out, (np.repeat(np.arange(len(rows)), n), (np.concatenate(rows) & (GROUPS - 1)).astype(np.int64)), 1)
-    return out
+GROUPS = 1 << 16
+FAN = 8
+#: Classes of a shard and, at most, of a cell.
+CELL = 2048
+#: Coordinates looked at in one step of a search.
+_STEP = 4_000_000
 
 
 class CountTree:
-    """An R-tree of count vectors: packed leaves, bounding boxes above them."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.order = np.lexsort((*points.T[:4], sizes))
-        self.points, self.sizes = points[self.order], sizes[self.order]
-        self.levels = []  # from the leaves up: (upper corner, least size)
-        top, least = self.points, self.sizes
-        while True:
-            cuts = np.arange(0, len(top), LEAF)
-            top, least = np.maximum.reduceat(top, cuts), np.minimum.reduceat(least, cuts)
-            self.levels.append((top, least))
-            if len(top) <= 1:
-                break
-
-    def search(self, point: np.ndarray, size: int, share: float) -> np.ndarray:
-        """Numbers of the points whose common tokens with ``point`` may reach ``share`` of the smaller."""
-        nodes = np.arange(len(self.levels[-1][0]))
-        for depth in range(len(self.levels) - 1, -1, -1):
-            top, least = self.levels[depth]
-            may = np.minimum(top[nodes], point).sum(axis=1) >= share * np.minimum(least[nodes], size)
-            nodes = nodes[may]
-            below = len(self.levels[depth - 1][0]) if depth else len(self.points)
-            nodes = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
-            nodes = nodes[nodes < below]
-        may = np.minimum(self.points[nodes], point).sum(axis=1) >= share * np.minimum(self.sizes[nodes], size)
-        return self.order[nodes[may]]
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Common elements of two sorted arrays of distinct values."""
-    return len(np.intersect1d(a, b, assume_unique=True))
-
-
-def _links(ids: np.ndarray, bars: list[np.ndarray], need: np.ndarray, asks: np.ndarray, held: np.ndarray) -> Iterator[tuple[int, int, bool]]:
-    """Links within one cell that are needed to hold its groups together: sure ones, and those whose notes must be looked at.
-
-    ``asks`` marks records that are looked up here, ``held`` those of this cell; a record is looked
-    up among those held, in need of ``need`` common bars.  Pairs already connected here are not
-    verified again: a group of g records costs about g checks and leaves g - 1 links.
+    """An R-tree of sparse count vectors: packed leaves of ``FAN`` points, bounding boxes above them.
+
+    ``points`` are arrays of groups, in the order in which they are packed; ``need`` is the least
+    sum of minima each point asks for, ``size`` its notes: no two points whose sizes differ by more
+    than ``CHANGED`` of the smaller are paired.
     """
-    n, at = len(ids), np.flatnonzero(held)
-    if n < 2 or not len(at):
-        return
-    parent = np.arange(n)
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    sizes = np.array([len(b) for b in bars])
-    points = _points([bars[i] for i in at])
-    if len(at) <= LEAF:  # a single leaf
-        near = lambda i: np.flatnonzero(np.minimum(points, _points([bars[i]])[0]).sum(axis=1) >= np.minimum(need[i], sizes[at]))
-    else:
-        tree = CountTree(points, sizes[at])
-        near = lambda i: tree.search(_points([bars[i]])[0], sizes[i], need[i] / sizes[i])
-    for i in np.flatnonzero(asks):
-        for j in at[near(i)]:
-            # of two that are both looked up, the lesser need counts once
-            if ids[i] == ids[j] or asks[j] and (need[j], ids[j]) < (need[i], ids[i]) or (a := find(i)) == (b := find(j)):
-                continue
-            common = _common(bars[i], bars[j])
-            sure = common >= SURE * min(sizes[i], sizes[j])
-            if sure:
-                parent[b] = a
-            if sure or common >= need[i]:
-                yield (ids[i], ids[j], sure)
-
-
-def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Input sorted by subtree; a subtree may go on in the next batch."""
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        same = (pdf["bar"] == pdf["bar"].iloc[-1]) & (pdf["cell"] == pdf["cell"].iloc[-1])
-        if same.all() and held and held[-1]["bar"].iloc[-1] == pdf["bar"].iloc[-1] and held[-1]["cell"].iloc[-1] == pdf["cell"].iloc[-1]:
-            held.append(pdf)
-            continue
-        yield _solve(pd.concat([*held, pdf[~same]]))
-        held = [pdf[same]]
-    if held:
-        yield _solve(pd.concat(held))
-
-
-def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    out: list[tuple[int, int, bool]] = []
-    if len(pdf):
-        bar, cell = pdf["bar"].to_numpy(), pdf["cell"].to_numpy()
-        ids, bars, need, asks, held = (pdf[c].to_numpy() for c in ("rep", "hashes", "need", "asks", "held"))
-        edges = np.flatnonzero((bar[1:] != bar[:-1]) | (cell[1:] != cell[:-1])) + 1
-        for a, b in zip([0, *edges], [*edges, len(pdf)], strict=True):
-            out += _links(ids[a:b], list(bars[a:b]), need[a:b], asks[a:b], held[a:b])
-    return pd.DataFrame(out, columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": "bool"})
-
-
-def routed(reps: DataFrame) -> DataFrame:
-    """``(bar, cell, asks, held, rep, need, hashes)``: each class in its cell of the subtree of every bar that any class is looked up by, and in all cells where it is looked up.  ``reps(rep, need, hashes)``, hashes sorted and distinct."""
-    each = reps.select("rep", "need", F.explode("hashes").alias("bar"))
-    common = each.groupBy("bar").agg(F.count("*").alias("df")).where("df > 1")
-    route = cut(prefix(each.join(common, "bar"), "rep").select("bar", "rep", "df", F.lit(True).alias("asks")), "routes")
-    cells = route.groupBy("bar").agg(F.ceil(F.first("df") / CELL).cast("int").alias("cells"))
-    own = F.pmod(F.xxhash64("rep", "bar"), F.col("cells")).cast("int")
+
+    def __init__(self, points: list[np.ndarray], need: np.ndarray, size: np.ndarray):
+        self.n = len(points)
+        self.need, self.size = need.astype(np.int64), size.astype(np.int64)
+        self.owner, self.group, self.count = self._counts(points)
+        self.keys = self.owner * GROUPS + self.group
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # from the leaves up: box, least need, least and largest size
+        cuts = np.arange(0, self.n, FAN)
+        box = np.zeros((len(cuts), GROUPS), np.uint8)
+        np.maximum.at(box, (self.owner // FAN, self.group), np.minimum(self.count, 255).astype(np.uint8))
+        least, small, large = (f.reduceat(x, cuts) for f, x in ((np.minimum, self.need), (np.minimum, self.size), (np.maximum, self.size)))
+        self.levels.append((box, least, small, large))
+        while len(box) > FAN:
+            cuts = np.arange(0, len(box), FAN)
+            box = np.maximum.reduceat(box, cuts)
+            least, small, large = np.minimum.reduceat(least, cuts), np.minimum.reduceat(small, cuts), np.maximum.reduceat(large, cuts)
+            self.levels.append((box, least, small, large))
+        #: Pairs of point and query, and of these, how many reached each level and were left at the end.
+        self.seen = [0] * (len(self.levels) + 2)
+
+    @staticmethod
+    def _counts(points: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.array([len(p) for p in points], np.int64)
+        flat = np.concatenate(points).astype(np.int64) if len(points) else np.zeros(0, np.int64)
+        keys, count = np.unique(np.repeat(np.arange(len(points)), n) * GROUPS + flat, return_counts=True)
+        return keys // GROUPS, keys % GROUPS, count
+
+    def search(self, points: list[np.ndarray], need: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``(query numbers, point numbers)`` of all pairs whose sum of coordinate minima reaches the needs of both."""
+        owner, group, count = self._counts(points)
+        start = np.searchsorted(owner, np.arange(len(points) + 1))
+        length = np.diff(start)
+        top = len(self.levels[-1][0])
+        step = max(1, _STEP // max(top * int(length.max(initial=1)), 1))
+        for a in range(0, len(points), step):
+            q = np.repeat(np.arange(a, min(a + step, len(points))), top)
+            node = np.tile(np.arange(top), len(q) // max(top, 1))
+            self.seen[0] += len(q) // max(top, 1) * self.n
+            for depth in range(len(self.levels) - 1, -1, -1):
+                box, least, small, large = self.levels[depth]
+                fits = (large[node] * (1 + CHANGED) >= size[q]) & (small[node] <= size[q] * (1 + CHANGED))
+                q, node = q[fits], node[fits]
+                bound = self._bounds(q, node, start, length, group, count, lambda at, g, box=box: box[at, g])
+                keep = bound >= np.maximum(least[node], need[q])
+                q, node = q[keep], node[keep]
+                below = len(self.levels[depth - 1][0]) if depth else self.n
+                q = np.repeat(q, FAN)
+                node = (node[:, None] * FAN + np.arange(FAN)).ravel()
+                q, node = q[node < below], node[node < below]
+                self.seen[len(self.levels) - depth] += len(q)
+            fits = (self.size[node] * (1 + CHANGED) >= size[q]) & (self.size[node] <= size[q] * (1 + CHANGED))
+            q, node = q[fits], node[fits]
+            bound = self._bounds(q, node, start, length, group, count, self._point)
+            keep = bound >= np.maximum(self.need[node], need[q])
+            self.seen[-1] += int(keep.sum())
+            yield q[keep], node[keep]
+
+    def _point(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+        key = at * GROUPS + group
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[place] == key, self.count[place], 0)
+
+    @staticmethod
+    def _bounds(q, node, start, length, group, count, at) -> np.ndarray:
+        """Sum of coordinate minima of each pair of query and node."""
+        out = np.zeros(len(q), np.int64)
+        rows = max(1, _STEP // max(int(length.max(initial=1)), 1))
+        for a in range(0, len(q), rows):
+            some = slice(a, a + rows)
+            n = length[q[some]]
+            ends = np.cumsum(n)
+            place = np.arange(int(ends[-1])) + np.repeat(start[q[some]] - (ends - n), n)
+            least = np.minimum(count[place], at(np.repeat(node[some], n), group[place]))
+            out[some] = np.add.reduceat(least, ends - n)
+        return out
+
+
+def _links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of one shard that are needed to hold its groups together.  A pair already connected here is not verified again: a group of g records leaves g - 1 links."""
+    pdf = pdf.sort_values(["token", "rep"], ignore_index=True)  # what shares a rare token is packed together
+    ids, held = pdf["rep"].to_numpy(np.int64), pdf["held"].to_numpy(bool)
+    points = [np.asarray(g, np.int64) & GROUPS - 1 for g in pdf["groups"]]
+    need, size, bars = pdf["need"].to_numpy(np.int64), pdf["notes"].to_numpy(np.int64), pdf["bars"].tolist()
+    at = np.flatnonzero(held)
+    out: list[tuple[int, int]] = []
+    if len(at) and len(ids) > 1:
+        parent = list(range(len(ids)))
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        tree = CountTree([points[i] for i in at], need[at], size[at])
+        for asks, found in tree.search(points, need, size):
+            for i, j in zip(asks.tolist(), at[found].tolist(), strict=True):
+                # of two that are both held, one is looked up for the other
+                if i == j or held[i] and i > j or (a := find(i)) == (b := find(j)):
+                    continue
+                if changed_notes(bars[i].split("|"), bars[j].split("|")) <= CHANGED:
+                    parent[b] = a
+                    out.append((ids[i], ids[j]))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def links(items: DataFrame) -> DataFrame:
+    """``(a, b)``: links between near-duplicates among ``items(rep, tokens, need, notes, bars)``, tokens and bars distinct per item."""
+    each = items.select("rep", "need", F.explode("tokens").alias("token"))
+    common = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    routes = cut(prefix(each.join(common, "token"), "rep"), "routes")
+    shards = max(1, math.ceil(routes.count() / CELL))
+    met = routes.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", F.ceil(F.col("n") / CELL).cast("int").alias("cells"))
+    own = F.pmod(F.xxhash64("rep", "token"), F.col("cells")).cast("int")
+    # cells of a frequent token are shards of their own
+    shard = F.when(F.col("cells") == 1, F.pmod(F.xxhash64("token"), F.lit(shards))).otherwise(shards + F.pmod(F.xxhash64("token", "cell"), F.lit(1 << 40)))
     placed = (
-        each.select("bar", "rep").join(cells, "bar").join(route.select("bar", "rep", "asks"), ["bar", "rep"], "left")
-        .select("bar", "rep", F.coalesce("asks", F.lit(False)).alias("asks"), own.alias("own"), "cells")
+        routes.join(met, "token").withColumn("own", own)
+        .select("token", "rep", "cells", "own", F.explode(F.sequence("own", F.col("cells") - 1)).alias("cell"))
+        .groupBy(shard.alias("shard"), "rep").agg(F.max(F.col("cell") == F.col("own")).alias("held"), F.min("token").alias("token"))
     )
-    into = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array("own"))
-    return placed.select("bar", "rep", "asks", "own", F.explode(into).alias("cell")).select("bar", "rep", "cell", "asks", (F.col("cell") == F.col("own")).alias("held")).join(reps, "rep")
+    group = F.transform("tokens", lambda t: F.shiftrightunsigned(t, 48).cast("int"))
+    points = items.select("rep", "need", "notes", group.alias("groups"), F.array_join("bars", "|").alias("bars"))
+    return placed.join(points, "rep").groupBy("shard").applyInPandas(_links, "a long, b long")
 
 
 def near_duplicates(scores: DataFrame) -> DataFrame:
     """``(pos, class_id, group_pos)`` for every score with music.
 
-    ``class_id`` is the least ``pos`` with the same bag of bars, ``group_pos`` the least of the
-    group; belonging together carries over.  Scores whose ``pos`` or text is null or whose text holds
-    no music have no row; a score like no other is its own group; other columns are not read.
+    Two scores are linked if their lengths differ by no more than ``CHANGED`` of the shorter's notes
+    and no more of its notes have no partner in the other, bars in any order; every pair with at
+    most one note in ``EDIT`` changed, added or missing is found.  ``class_id`` is the least ``pos``
+    with the same bag of bars, ``group_pos`` the least of the group; belonging together carries over.
+    Scores whose ``pos`` or text is null or whose text holds no music have no row; a score like no
+    other is its own group; other columns are not read.
     """
     parsed = cut(with_bars(scores.where("pos is not null").select("pos", "text"), "text"), "bars")
-    reps = cut(
-        with_need(parsed.groupBy("class").agg(F.min("pos").alias("rep"), F.first("bars").alias("bars")), "bars")
-        .select("class", "rep", "need", "edits", "dense", "bars", bar_hashes(F.col("bars")).alias("hashes")),
-        "classes",
-    )
-    links = cut(
-        routed(reps.select("rep", "need", "hashes"))
-        .repartition("bar", "cell")
-        .sortWithinPartitions("bar", "cell")
-        .select("bar", "cell", "asks", "held", "rep", "need", "hashes")
-        .mapInPandas(_subtrees, "a long, b long, sure boolean"),
-        "links",
-    )
-    dense = dense_pairs(reps.select("rep", F.lit(True).alias("side"), "bars", "edits", "dense"), within=True)
-    maybe = links.where("not sure").select("a", "b").unionByName(dense.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    noted = confirmed(maybe, parsed.select("pos", "bars"), "a", "b", "pos")
-    roots = connected_components(links.where("sure").select("a", "b").unionByName(noted))
-    named = reps.select("class", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("class", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("group_pos"))
+    classes = cut(with_keys(parsed.groupBy("class").agg(F.min("pos").alias("rep"), F.first("bars").alias("bars"))), "classes")
+    found = cut(links(classes).unionByName(links(dense_keys(classes))), "links")
+    roots = connected_components(found)
+    named = classes.select("class", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("class", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("group_pos"))
     return parsed.select("pos", "class").distinct().join(named, "class").select("pos", "class_id", "group_pos")

@@ -1,12 +1,16 @@
 """Records of evaluation splits that also stand, wholly or nearly, in the training split.
 
-The bars of the evaluation records are held in compressed full-text indexes
-(:mod:`quaver.llm.fmindex`), sharded by the last notes of a bar, which backward search reads first:
-a training bar is looked up in one shard only, whatever the number of shards.  Training bars are
-streamed through backward search; a bar's maximal match that spans it from separator to separator is
-a common span.  Spans are then merged per pair of records: the rarest bars of a record name its
-possible partners, and a pair is an overlap if enough bars of the shorter record are common, or, of
-fewer bars, nearly all notes.  Records whose every bar may be changed are looked up by runs of notes too.
+The evaluation records are held in shards of compressed full-text indexes
+(:mod:`quaver.llm.fmindex`).  Training records are streamed through backward search, which gives the
+maximal matches with each evaluation record of the shard they are sent to, over bar lines too, with
+place and length.  Matches are merged per pair of records, and the notes they cover decide: a pair
+is an overlap if they are nearly all notes of the shorter record, none if they are less than half;
+between, the records are compared note by note.
+
+Which shards a training record is sent to follows from the rarest bars of the evaluation records,
+so many that no overlap is parted (:func:`quaver.llm.music.with_keys`).  Only keys are shuffled for
+that; the music of records with a possible partner follows them.  Records whose every bar may be
+changed are led by their runs of notes too.
 
 Records with the same bag of bars are one class up to the last step, so copies are not compared
 again.
@@ -15,130 +19,135 @@ again.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.fmindex import FMIndex, Symbols, encode
-from quaver.llm.music import SURE, bar_hashes, confirmed, dense_pairs, prefix, sounding, with_bars, with_need
+from quaver.llm.fmindex import BAR, END, FMIndex, Symbols, encode
+from quaver.llm.music import CHANGED, changed_notes, dense_keys, prefix, with_bars, with_keys
 from quaver.llm.scratch import cut
 
-#: Bars of both sides in a shard.
-SHARD_ROWS = 150_000
+#: Pairs of a shard, at most; each brings at most two records.
+SHARD_PAIRS = 2000
+#: A pair whose merged matches cover less than NONE of the notes of the shorter record is no overlap.
+NONE = 0.5
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard and phase: 0 names the bars to index, 1 streams the training bars, 2 the evaluation bars again.
+def _covered(n: int, start: np.ndarray, length: np.ndarray, counts: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of ``counts`` between ``cuts`` over the places that some of the spans cover."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + length, -1)
+    there = np.where(np.cumsum(edge[:-1]) > 0, counts, 0)
+    total = np.concatenate(([0], np.cumsum(there)))
+    return total[cuts[1:]] - total[cuts[:-1]]
 
-    Yields the training rows whose bar is found whole, then the evaluation rows whose bar was found.
-    Held are a shard's distinct bars and its index only.
-    """
+
+def _bar_numbers(text: np.ndarray) -> np.ndarray:
+    """For each symbol the number of its bar; a bar line opens the bar after it."""
+    return np.cumsum(text == BAR) - 1
+
+
+def shares(held: list[str], asked: list[str], query: np.ndarray, record: np.ndarray) -> np.ndarray:
+    """For pairs of a text of ``asked`` and one of ``held``: the share of the notes of the shorter that merged maximal matches cover.  A bar that stands several times in a held text is covered where one of them is."""
     symbols = Symbols()
-    shard, index = None, None
-    bars: set[str] = set()
-    hits: set[str] = set()
-    for batch in batches:
-        shards, phases = batch["shard"].to_numpy(), batch["phase"].to_numpy()
-        edges = np.flatnonzero((shards[1:] != shards[:-1]) | (phases[1:] != phases[:-1])) + 1
-        for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
-            if a == b:
-                continue
-            if shards[a] != shard:
-                shard, index, bars, hits = shards[a], None, set(), set()
-            text = batch["bar"].slice(a, b - a).to_pylist()
-            if phases[a] == 0:
-                bars.update(text)
-                continue
-            if phases[a] == 1:
-                if not bars:
-                    continue
-                index = index or FMIndex(encode(sorted(bars), symbols)[0])
-                asked = list(set(text) - hits)
-                notes, starts = encode(asked, symbols)
-                length = np.diff(np.append(starts, len(notes) - 1)) + 1
-                hits.update(asked[k] for k in np.flatnonzero(index.matched(notes, starts) == length))
-            keep = [a + k for k, bar in enumerate(text) if bar in hits]
-            if keep:
-                rows = batch.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([rows["rep"], pa.array([bool(phases[a] == 1)] * len(keep)), rows["need"], rows["bar"]], ["rep", "training", "need", "bar"])
-
-
-def spans(classes: DataFrame) -> DataFrame:
-    """``(rep, training, need, bar)``: of ``classes(rep, training, need, bars)`` the bars that stand on both sides, as 64-bit hashes.
-
-    Shards follow the last notes of a bar.  A shard that gets many more training rows than others,
-    because one bar is everywhere, is split; its parts share out the training rows and each has the
-    whole index.
+    index = FMIndex(held, symbols)
+    text, starts = encode(asked, symbols)
+    begin, end = starts[query], starts[query + 1] - 1  # without the end
+    pair, at, place, length = index.matches(text, begin, end, record)
+    # every pair gets its own stretch of both texts
+    def stretch(source, bounds, which):
+        n = bounds[which + 1] - bounds[which]
+        cuts = np.concatenate(([0], np.cumsum(n)))
+        flat = np.arange(int(cuts[-1])) + np.repeat(bounds[which] - cuts[:-1], n)
+        return source[flat], cuts
+
+    asked_text, asked_cuts = stretch(text, starts, query)
+    held_text, held_cuts = stretch(index.text, index.starts, record)
+    is_note = lambda t: ((t != BAR) & (t != END)).astype(np.int64)
+    got_asked = _covered(len(asked_text), at - begin[pair] + asked_cuts[pair], length, is_note(asked_text), asked_cuts)
+    # the held side bar by bar
+    bar = _bar_numbers(held_text)
+    n_bars = int(bar[-1]) + 1 if len(bar) else 0
+    first = np.searchsorted(bar, np.arange(n_bars + 1))
+    per_bar = _covered(len(held_text), place - index.starts[record[pair]] + held_cuts[pair], length, is_note(held_text), first)
+    owner = np.searchsorted(held_cuts, first[:-1], side="right") - 1
+    names: dict[str, int] = {}
+    own = [[names.setdefault(b, len(names)) for b in h.split("|")] + [-1] for h in held]  # after the last bar line nothing follows
+    name = np.array([b for r in record.tolist() for b in own[r]], np.int64)
+    _, same = np.unique(owner * (len(names) + 1) + name, return_inverse=True)
+    best = np.zeros(int(same.max()) + 1 if len(same) else 0, np.int64)
+    np.maximum.at(best, same, per_bar)
+    got_held = np.bincount(owner, best[same], minlength=len(record)) if len(owner) else np.zeros(len(record))
+    total = lambda t, cuts: np.diff(np.concatenate(([0], np.cumsum(is_note(t))))[cuts])
+    na, nh = total(asked_text, asked_cuts), total(held_text, held_cuts)
+    return np.where(nh <= na, got_held, got_asked) / np.maximum(np.minimum(na, nh), 1)
+
+
+def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The overlaps of one shard."""
+    side = pdf["training"].to_numpy(bool)
+    held, asked = pdf[~side].drop_duplicates("rep").reset_index(drop=True), pdf[side].reset_index(drop=True)
+    number = {rep: k for k, rep in enumerate(held["rep"].tolist())}
+    pairs = [(k, number[e]) for k, partners in enumerate(asked["partners"].tolist()) for e in partners]
+    query, record = (np.array(c, np.int64) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+    texts, others = asked["bars"].tolist(), held["bars"].tolist()
+    share = shares(others, texts, query, record)
+    keep = share >= 1 - CHANGED
+    for k in np.flatnonzero(~keep & (share >= NONE)).tolist():
+        keep[k] = changed_notes(texts[query[k]].split("|"), others[record[k]].split("|")) <= CHANGED
+    t, e = asked["rep"].to_numpy(np.int64)[query[keep]], held["rep"].to_numpy(np.int64)[record[keep]]
+    return pd.DataFrame({"t": t, "e": e})
+
+
+def candidates(classes: DataFrame, both: bool) -> DataFrame:
+    """``(t, e)``: training and evaluation classes that may overlap, of ``classes(rep, training, need, tokens)``.
+
+    An evaluation class is looked up by its rarest tokens that training classes hold; if ``both``,
+    a training class answers to its own rarest tokens only, else to all.
     """
-    tail = F.xxhash64(F.substring_index("bar", " ", -2))
-    each = classes.select("rep", "training", "need", F.explode("bars").alias("bar"))
-    size = classes.select("training", F.size("bars").alias("n")).groupBy("training").agg(F.sum("n").alias("n")).collect()  # two rows
-    sums = {r["training"]: r["n"] for r in size}
-    parallel = classes.sparkSession.sparkContext.defaultParallelism
-    shards = max(math.ceil(sum(sums.values()) / SHARD_ROWS), 2 * parallel)
-    sharded = each.withColumn("shard", F.pmod(tail, F.lit(shards)).cast("int"))
-    usual = max(8 * sums.get(True, 0) // shards, SHARD_ROWS)
-    parts = (
-        sharded.where("training").groupBy("shard").agg(F.count("*").alias("k")).where(F.col("k") > usual)
-        .select("shard", F.ceil(F.col("k") / usual).cast("int").alias("parts"))  # an eighth of the shards at most
-    )
-    placed = sharded.join(F.broadcast(parts), "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    part = F.when(F.col("training"), F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    phase = F.when(F.col("training"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(2)))
-    rows = placed.select("shard", "rep", "need", "bar", F.explode(part).alias("part"), phase.alias("phases")).select(
-        (F.col("part") * shards + F.col("shard")).alias("shard"), F.explode("phases").alias("phase"), "rep", "need", "bar"
-    )
-    found = rows.repartition(shards, "shard").sortWithinPartitions("shard", "phase").mapInArrow(_search, "rep long, training boolean, need int, bar string")
-    return found.select("rep", "training", "need", F.xxhash64("bar").alias("bar")).distinct()
+    side = lambda training, name, *more: classes.where(F.col("training") == training).select(F.col("rep").alias(name), *more, F.explode("tokens").alias("token"))
+    wanted = side(False, "e", "need")
+    there = cut(side(True, "t", "need").join(wanted.select("token").distinct(), "token", "left_semi"), "held")
+    df = there.groupBy("token").agg(F.count("*").alias("df"))
+    answers = prefix(there.join(df, "token"), "t") if both else there.select("t", "token")
+    return prefix(wanted.join(df, "token"), "e").join(answers, "token").select("t", "e").distinct()
 
 
 def overlaps(records: DataFrame) -> DataFrame:
     """``(training_key, key)``: pairs of a training record and an evaluation record that overlap.
 
     ``records(key bigint, training boolean, bars array<string>, class bigint)`` as of
-    :func:`evaluation_records`: a key is on one side only.  A pair
-    overlaps if at least ``SURE`` of the distinct bars of the record with fewer bars are common, or
-    all but few of its notes are: every pair with at most one changed note in ``EDIT`` is found, none with
-    more than ``CHANGED``, and between these those with ``MAYBE`` of the bars in common.  Records without text or music overlap with
-    nothing; an empty side gives an empty result; repeated rows count once.
+    :func:`evaluation_records`: a key is on one side only.  A pair overlaps if at most ``CHANGED`` of
+    the notes of the record with fewer notes have no partner in the other, bars in any order; every
+    pair with at most one note in ``EDIT`` changed, added or missing is found, and every evaluation
+    record of which that many whole bars stand in a longer training record.  Records without text or
+    music overlap with nothing; an empty side gives an empty result; repeated rows count once.
     """
     parsed = cut(records.where("key is not null and training is not null").select("key", "training", "bars", "class"), "music")
-    classes = cut(
-        with_need(parsed.groupBy("class", "training").agg(F.min("key").alias("rep"), F.first("bars").alias("bars")), "bars")
-        .select("class", "training", "rep", "need", "edits", "dense", F.array_distinct(sounding(F.col("bars"))).alias("bars")),
-        "classes",
-    )
-    common = cut(spans(classes.select("rep", "training", "need", "bars")), "spans")
-    rated = common.join(common.groupBy("bar").agg(F.count("*").alias("df")), "bar")
-    rare = cut(prefix(rated, ["rep", "training"]).select("rep", "training", "bar"), "rare")
-    of = lambda df, training, name: df.where(F.col("training") == training).select("bar", F.col("rep").alias(name))
-    may = (
-        of(rare, False, "e").join(of(common, True, "t"), "bar").select("t", "e")
-        .unionByName(of(rare, True, "t").join(of(common, False, "e"), "bar").select("t", "e"))
-        .distinct()
-    )
-    side = lambda name: classes.select(F.col("rep").alias(name), F.col("need").alias(f"{name}_need"), bar_hashes(F.col("bars")).alias(f"_{name}"))
-    n = F.size(F.array_intersect("_t", "_e"))
-    rated_pairs = cut(
-        may.join(side("t"), "t").join(side("e"), "e")
-        .where(n >= F.least("t_need", "e_need"))
-        .select("t", "e", (n / F.least(F.size("_t"), F.size("_e"))).alias("common")),
-        "pairs",
-    )
-    dense = dense_pairs(classes.select("rep", F.col("training").alias("side"), "bars", "edits", "dense"), within=False)
-    named_sides = dense.join(classes.select(F.col("rep").alias("x"), "training"), "x").select(
-        F.when(F.col("training"), F.col("x")).otherwise(F.col("y")).alias("t"), F.when(F.col("training"), F.col("y")).otherwise(F.col("x")).alias("e")
+    keyed = with_keys(parsed.groupBy("class", "training").agg(F.min("key").alias("rep"), F.first("bars").alias("bars")))
+    classes = cut(keyed, "classes")
+    plain = candidates(classes, both=False)
+    pairs = cut(plain.unionByName(candidates(dense_keys(classes), both=True)).distinct(), "pairs")
+    shards = max(1, math.ceil(pairs.count() / SHARD_PAIRS))
+    # an evaluation class with very many partners is held in several shards
+    parts = pairs.groupBy("e").agg(F.ceil(F.count("*") / SHARD_PAIRS).cast("int").alias("parts"))
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")).otherwise(0)
+    sent = pairs.join(parts, "e").select("t", "e", F.pmod(F.xxhash64("e", part), F.lit(shards)).alias("shard"))
+    asked = sent.groupBy("t", "shard").agg(F.collect_list("e").alias("partners")).select(F.col("t").alias("rep"), F.lit(True).alias("training"), "shard", "partners")
+    held = sent.select(F.col("e").alias("rep"), F.lit(False).alias("training"), "shard", F.array().cast("array<bigint>").alias("partners")).distinct()
+    found = cut(
+        asked.unionByName(held)
+        .join(classes.select("rep", "training", F.array_join("bars", "|").alias("bars")), ["rep", "training"])
+        .groupBy("shard")
+        .applyInPandas(_decide, "t long, e long"),
+        "overlaps",
     )
-    looked = rated_pairs.where(F.col("common") < SURE).select("t", "e").unionByName(named_sides).distinct()
-    unsure = looked.join(rated_pairs.where(F.col("common") >= SURE).select("t", "e"), ["t", "e"], "left_anti")
-    noted = confirmed(unsure, parsed.select("key", "bars"), "t", "e", "key")
-    sure = rated_pairs.where(F.col("common") >= SURE).select("t", "e").unionByName(noted)
     named = parsed.select("key", "training", "class").distinct().join(classes.select("class", "training", "rep"), ["class", "training"])
     return (
-        sure.join(named.where("training").select(F.col("rep").alias("t"), F.col("key").alias("training_key")), "t")
+        found.join(named.where("training").select(F.col("rep").alias("t"), F.col("key").alias("training_key")), "t")
         .join(named.where("not training").select(F.col("rep").alias("e"), "key"), "e")
         .select("training_key", "key")
     )
