@@ -32,8 +32,8 @@ from quaver.llm.scratch import cut
 
 GROUPS = 1 << 16
 FAN = 8
-#: Classes of a shard and, at most, of a cell.
-CELL = 2048
+#: Classes of a shard, about, and of a cell of a frequent token, at most.
+SHARD, CELL = 256, 2048
 #: Coordinates looked at in one step of a search.
 _STEP = 4_000_000
 
@@ -53,8 +53,9 @@ class CountTree:
         self.keys = self.owner * GROUPS + self.group
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # from the leaves up: box, least need, least and largest size
         cuts = np.arange(0, self.n, FAN)
-        box = np.zeros((len(cuts), GROUPS), np.uint8)
-        np.maximum.at(box, (self.owner // FAN, self.group), np.minimum(self.count, 255).astype(np.uint8))
+        box = np.zeros(len(cuts) * GROUPS, np.uint8)
+        np.maximum.at(box, self.owner // FAN * GROUPS + self.group, np.minimum(self.count, 255).astype(np.uint8))
+        box = box.reshape(-1, GROUPS)
         least, small, large = (f.reduceat(x, cuts) for f, x in ((np.minimum, self.need), (np.minimum, self.size), (np.maximum, self.size)))
         self.levels.append((box, least, small, large))
         while len(box) > FAN:
@@ -124,7 +125,8 @@ class CountTree:
 
 def _links(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links of one shard that are needed to hold its groups together.  A pair already connected here is not verified again: a group of g records leaves g - 1 links."""
-    pdf = pdf.sort_values(["token", "rep"], ignore_index=True)  # what shares a rare token is packed together
+    # what shares rare tokens is packed together; a class that comes by several tokens is held if one of them says so
+    pdf = pdf.sort_values(["held", "least"], ascending=[False, True]).drop_duplicates("rep").sort_values(["least", "rep"], ignore_index=True)
     ids, held = pdf["rep"].to_numpy(np.int64), pdf["held"].to_numpy(bool)
     points = [np.asarray(g, np.int64) & GROUPS - 1 for g in pdf["groups"]]
     need, size, bars = pdf["need"].to_numpy(np.int64), pdf["notes"].to_numpy(np.int64), pdf["bars"].tolist()
@@ -152,23 +154,42 @@ def _links(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def links(items: DataFrame) -> DataFrame:
-    """``(a, b)``: links between near-duplicates among ``items(rep, tokens, need, notes, bars)``, tokens and bars distinct per item."""
+    """``(a, b)``: links between near-duplicates among ``items(rep, tokens, need, notes, bars)``, tokens distinct per item.
+
+    A token's shard follows from the least class that is routed by it, so that classes which have
+    many rare tokens in common meet once, not once a token; a class goes to no more shards than it
+    has tokens to be routed by.
+    """
     each = items.select("rep", "need", F.explode("tokens").alias("token"))
     common = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    routes = cut(prefix(each.join(common, "token"), "rep"), "routes")
-    shards = max(1, math.ceil(routes.count() / CELL))
-    met = routes.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", F.ceil(F.col("n") / CELL).cast("int").alias("cells"))
+    # sizes within the allowed ratio share one of two neighbouring windows
+    window = F.floor(F.log(F.col("notes")) / math.log(1 + CHANGED + 0.01)).cast("int")
+    routes = cut(
+        prefix(each.join(common, "token"), "rep").join(items.select("rep", window.alias("w")), "rep")
+        .select("rep", F.explode(F.array(F.xxhash64("token", "w"), F.xxhash64("token", F.col("w") + 1))).alias("token")),
+        "routes",
+    )
+    met = routes.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1").select("token", "least", F.ceil(F.col("n") / CELL).cast("int").alias("cells"))
     own = F.pmod(F.xxhash64("rep", "token"), F.col("cells")).cast("int")
     # cells of a frequent token are shards of their own
-    shard = F.when(F.col("cells") == 1, F.pmod(F.xxhash64("token"), F.lit(shards))).otherwise(shards + F.pmod(F.xxhash64("token", "cell"), F.lit(1 << 40)))
-    placed = (
+    place = F.when(F.col("cells") == 1, F.xxhash64("least")).otherwise(F.xxhash64("token", "cell"))
+    visits = cut(
         routes.join(met, "token").withColumn("own", own)
-        .select("token", "rep", "cells", "own", F.explode(F.sequence("own", F.col("cells") - 1)).alias("cell"))
-        .groupBy(shard.alias("shard"), "rep").agg(F.max(F.col("cell") == F.col("own")).alias("held"), F.min("token").alias("token"))
+        .select("token", "rep", "least", "cells", "own", F.explode(F.sequence("own", F.col("cells") - 1)).alias("cell"))
+        .groupBy("rep").agg(F.collect_set(F.struct(place.alias("place"), (F.col("cells") > 1).alias("alone"), (F.col("cell") == F.col("own")).alias("held"), "least")).alias("visits")),
+        "visits",
     )
+    shards = max(1, math.ceil((visits.agg(F.sum(F.size("visits"))).first()[0] or 0) / SHARD))
+    shard = F.when(F.col("v.alone"), shards + F.pmod("v.place", F.lit(1 << 40))).otherwise(F.pmod("v.place", F.lit(shards)))
     group = F.transform("tokens", lambda t: F.shiftrightunsigned(t, 48).cast("int"))
     points = items.select("rep", "need", "notes", group.alias("groups"), F.array_join("bars", "|").alias("bars"))
-    return placed.join(points, "rep").groupBy("shard").applyInPandas(_links, "a long, b long")
+    return (
+        visits.join(points, "rep")
+        .select(F.explode("visits").alias("v"), "rep", "need", "notes", "groups", "bars")
+        .select(shard.alias("shard"), "v.held", "v.least", "rep", "need", "notes", "groups", "bars")
+        .groupBy("shard")
+        .applyInPandas(_links, "a long, b long")
+    )
 
 
 def near_duplicates(scores: DataFrame) -> DataFrame:
@@ -183,7 +204,8 @@ def near_duplicates(scores: DataFrame) -> DataFrame:
     """
     parsed = cut(with_bars(scores.where("pos is not null").select("pos", "text"), "text"), "bars")
     classes = cut(with_keys(parsed.groupBy("class").agg(F.min("pos").alias("rep"), F.first("bars").alias("bars"))), "classes")
-    found = cut(links(classes).unionByName(links(dense_keys(classes))), "links")
+    dense = cut(dense_keys(classes), "dense")
+    found = cut(links(classes).unionByName(links(dense)), "links")
     roots = connected_components(found)
     named = classes.select("class", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("class", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("group_pos"))
     return parsed.select("pos", "class").distinct().join(named, "class").select("pos", "class_id", "group_pos")

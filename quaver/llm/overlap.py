@@ -129,8 +129,8 @@ def overlaps(records: DataFrame) -> DataFrame:
     parsed = cut(records.where("key is not null and training is not null").select("key", "training", "bars", "class"), "music")
     keyed = with_keys(parsed.groupBy("class", "training").agg(F.min("key").alias("rep"), F.first("bars").alias("bars")))
     classes = cut(keyed, "classes")
-    plain = candidates(classes, both=False)
-    pairs = cut(plain.unionByName(candidates(dense_keys(classes), both=True)).distinct(), "pairs")
+    dense = cut(dense_keys(classes).select("rep", "training", "need", "tokens"), "dense")
+    pairs = cut(candidates(classes, both=False).unionByName(candidates(dense, both=True)).distinct(), "pairs")
     shards = max(1, math.ceil(pairs.count() / SHARD_PAIRS))
     # an evaluation class with very many partners is held in several shards
     parts = pairs.groupBy("e").agg(F.ceil(F.count("*") / SHARD_PAIRS).cast("int").alias("parts"))
