@@ -88,9 +88,9 @@ def shares(held: list[str], asked: list[str], query: np.ndarray, record: np.ndar
 
 def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
     """The overlaps of one shard."""
-    side = pdf["training"].to_numpy(bool)
-    held, asked = pdf[~side].drop_duplicates("rep").reset_index(drop=True), pdf[side].reset_index(drop=True)
-    number = {rep: k for k, rep in enumerate(held["rep"].tolist())}
+    asks = pdf["asks"].to_numpy(bool)
+    held, asked = pdf[~asks].reset_index(drop=True), pdf[asks].reset_index(drop=True)
+    number = {e: k for k, e in enumerate(held["class"].tolist())}
     pairs = [(k, number[e]) for k, partners in enumerate(asked["partners"].tolist()) for e in partners]
     query, record = (np.array(c, np.int64) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
     texts, others = asked["bars"].tolist(), held["bars"].tolist()
@@ -98,57 +98,60 @@ def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
     keep = share >= 1 - CHANGED
     for k in np.flatnonzero(~keep & (share >= NONE)).tolist():
         keep[k] = changed_notes(texts[query[k]].split("|"), others[record[k]].split("|")) <= CHANGED
-    t, e = asked["rep"].to_numpy(np.int64)[query[keep]], held["rep"].to_numpy(np.int64)[record[keep]]
+    t, e = asked["class"].to_numpy(np.int64)[query[keep]], held["class"].to_numpy(np.int64)[record[keep]]
     return pd.DataFrame({"t": t, "e": e})
 
 
 def candidates(classes: DataFrame, both: bool) -> DataFrame:
-    """``(t, e)``: training and evaluation classes that may overlap, of ``classes(rep, training, need, tokens)``.
+    """``(t, e)``: classes of training and of evaluation records that may overlap, of ``classes(class, training, evaluation, need, tokens)``.
 
     An evaluation class is looked up by its rarest tokens that training classes hold; if ``both``,
     a training class answers to its own rarest tokens only, else to all.
     """
-    side = lambda training, name, *more: classes.where(F.col("training") == training).select(F.col("rep").alias(name), *more, F.explode("tokens").alias("token"))
-    wanted = side(False, "e", "need")
-    there = cut(side(True, "t", "need").join(wanted.select("token").distinct(), "token", "left_semi"), "held")
+    side = lambda flag, name, *more: classes.where(flag).select(F.col("class").alias(name), *more, F.explode("tokens").alias("token"))
+    wanted = side("evaluation", "e", "need")
+    there = cut(side("training", "t", "need").join(wanted.select("token").distinct(), "token", "left_semi"), "held")
     df = there.groupBy("token").agg(F.count("*").alias("df"))
     answers = prefix(there.join(df, "token"), "t") if both else there.select("t", "token")
     return prefix(wanted.join(df, "token"), "e").join(answers, "token").select("t", "e").distinct()
 
 
-def overlaps(records: DataFrame) -> DataFrame:
+def overlaps(records: DataFrame, sides: DataFrame | None = None) -> DataFrame:
     """``(training_key, key)``: pairs of a training record and an evaluation record that overlap.
 
-    ``records(key bigint, training boolean, bars array<string>, class bigint)`` as of
-    :func:`evaluation_records`: a key is on one side only.  A pair overlaps if at most ``CHANGED`` of
+    ``records(key bigint, bars array<string>, class bigint)`` as of :func:`quaver.llm.music.with_bars`;
+    ``sides(key, training boolean)`` puts a key on one side, by default it is a column of ``records``;
+    keys without a side overlap with nothing.  A pair overlaps if at most ``CHANGED`` of
     the notes of the record with fewer notes have no partner in the other, bars in any order; every
     pair with at most one note in ``EDIT`` changed, added or missing is found, and every evaluation
     record of which that many whole bars stand in a longer training record.  Records without text or
     music overlap with nothing; an empty side gives an empty result; repeated rows count once.
     """
-    parsed = cut(records.where("key is not null and training is not null").select("key", "training", "bars", "class"), "music")
-    keyed = with_keys(parsed.groupBy("class", "training").agg(F.min("key").alias("rep"), F.first("bars").alias("bars")))
-    classes = cut(keyed, "classes")
-    dense = cut(dense_keys(classes).select("rep", "training", "need", "tokens"), "dense")
+    parsed = cut(records.where("key is not null").select("key", "bars", "class", *([] if sides else ["training"])), "music")
+    side = (sides if sides else parsed).where("key is not null and training is not null").select("key", "training").distinct()
+    # sides are joined to keys and classes only, so the music is shuffled once
+    named = cut(parsed.select("key", "class").distinct().join(side, "key"), "named")
+    of_class = named.groupBy("class").agg(F.max("training").alias("training"), F.max(~F.col("training")).alias("evaluation"))
+    classes = cut(with_keys(parsed.groupBy("class").agg(F.first("bars").alias("bars")).join(of_class, "class")), "classes")
+    dense = cut(dense_keys(classes).select("class", "training", "evaluation", "need", "tokens"), "dense")
     pairs = cut(candidates(classes, both=False).unionByName(candidates(dense, both=True)).distinct(), "pairs")
     shards = max(1, math.ceil(pairs.count() / SHARD_PAIRS))
     # an evaluation class with very many partners is held in several shards
     parts = pairs.groupBy("e").agg(F.ceil(F.count("*") / SHARD_PAIRS).cast("int").alias("parts"))
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")).otherwise(0)
     sent = pairs.join(parts, "e").select("t", "e", F.pmod(F.xxhash64("e", part), F.lit(shards)).alias("shard"))
-    asked = sent.groupBy("t", "shard").agg(F.collect_list("e").alias("partners")).select(F.col("t").alias("rep"), F.lit(True).alias("training"), "shard", "partners")
-    held = sent.select(F.col("e").alias("rep"), F.lit(False).alias("training"), "shard", F.array().cast("array<bigint>").alias("partners")).distinct()
+    asked = sent.groupBy("t", "shard").agg(F.collect_list("e").alias("partners")).select(F.col("t").alias("class"), F.lit(True).alias("asks"), "shard", "partners")
+    held = sent.select(F.col("e").alias("class"), F.lit(False).alias("asks"), "shard", F.array().cast("array<bigint>").alias("partners")).distinct()
     found = cut(
         asked.unionByName(held)
-        .join(classes.select("rep", "training", F.array_join("bars", "|").alias("bars")), ["rep", "training"])
+        .join(classes.select("class", F.array_join("bars", "|").alias("bars")), "class")
         .groupBy("shard")
         .applyInPandas(_decide, "t long, e long"),
         "overlaps",
     )
-    named = parsed.select("key", "training", "class").distinct().join(classes.select("class", "training", "rep"), ["class", "training"])
     return (
-        found.join(named.where("training").select(F.col("rep").alias("t"), F.col("key").alias("training_key")), "t")
-        .join(named.where("not training").select(F.col("rep").alias("e"), "key"), "e")
+        found.join(named.where("training").select(F.col("class").alias("t"), F.col("key").alias("training_key")), "t")
+        .join(named.where("not training").select(F.col("class").alias("e"), "key"), "e")
         .select("training_key", "key")
     )
 
@@ -163,12 +166,15 @@ def split_of(split_files: DataFrame) -> DataFrame:
     )
 
 
-def evaluation_records(scores: DataFrame, split_files: DataFrame, bench: DataFrame) -> DataFrame:
-    """``(key, training, bars, class)`` of the scores with a split and of all benchmark records.  Texts are parsed before the join, so only bars are shuffled."""
-    music = with_bars(scores.where("pos is not null").select(F.col("pos").alias("key"), "text"), "text")
-    side = split_of(split_files).select(F.col("pos").alias("key"), (F.col("split") == "train").alias("training"))
-    held = with_bars(bench.select(F.col("rec_no").alias("key"), F.lit(False).alias("training"), F.col("input_content").alias("text")), "text")
-    return music.join(side, "key").select("key", "training", "bars", "class").unionByName(held.select("key", "training", "bars", "class"))
+def evaluation_records(scores: DataFrame, bench: DataFrame) -> DataFrame:
+    """``(key, bars, class)`` of all scores and benchmark records."""
+    every = scores.select(F.col("pos").alias("key"), "text").unionByName(bench.select(F.col("rec_no").alias("key"), F.col("input_content").alias("text")))
+    return with_bars(every.where("key is not null"), "text")
+
+
+def evaluation_sides(split_files: DataFrame, bench: DataFrame) -> DataFrame:
+    """``(key, training)`` of the scores with a split and of all benchmark records, which are evaluation material."""
+    return split_of(split_files).select(F.col("pos").alias("key"), (F.col("split") == "train").alias("training")).unionByName(bench.select(F.col("rec_no").alias("key"), F.lit(False).alias("training")))
 
 
 def overlap_report(pairs: DataFrame, split_files: DataFrame) -> DataFrame:

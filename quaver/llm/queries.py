@@ -31,18 +31,19 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_report(splits.assign_splits(_t(spark, d, "scores"), plan), plan)
 
 
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    scores, files, bench = (_t(spark, d, n) for n in ("scores", "split_files", "bench"))
+    return overlap.overlaps(overlap.evaluation_records(scores, bench), overlap.evaluation_sides(files, bench))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a training score and an evaluation record that overlap, smaller key first."""
-    records = overlap.evaluation_records(_t(spark, d, "scores"), _t(spark, d, "split_files"), _t(spark, d, "bench"))
-    pairs = overlap.overlaps(records)
-    return pairs.select(F.least("training_key", "key").alias("key_a"), F.greatest("training_key", "key").alias("key_b"))
+    return _overlaps(spark, d).select(F.least("training_key", "key").alias("key_a"), F.greatest("training_key", "key").alias("key_b"))
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping evaluation records per split and corpus."""
-    files = _t(spark, d, "split_files")
-    records = overlap.evaluation_records(_t(spark, d, "scores"), files, _t(spark, d, "bench"))
-    return overlap.overlap_report(overlap.overlaps(records), files)
+    return overlap.overlap_report(_overlaps(spark, d), _t(spark, d, "split_files"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

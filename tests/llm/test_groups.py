@@ -313,8 +313,8 @@ def test_merged_matches_cover_repeated_bars_and_the_shorter_record():
 
 def test_overlaps_are_those_of_all_pairs(spark, sf):
     t = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
-    records = overlap.evaluation_records(t("scores"), t("split_files"), t("bench"))
-    got = sorted(map(tuple, overlap.overlaps(records).collect()))
+    records, sides = overlap.evaluation_records(t("scores"), t("bench")), overlap.evaluation_sides(t("split_files"), t("bench"))
+    got = sorted(map(tuple, overlap.overlaps(records, sides).collect()))
     side = t("split_files").select("pos", "split").distinct().toPandas().set_index("pos")["split"]
     music_ = {r["pos"]: bars(r["text"]) for r in t("scores").select("pos", "text").collect()} | {r["rec_no"]: bars(r["input_content"]) for r in t("bench").select("rec_no", "input_content").collect()}
     train = [p for p in music_ if side.get(p) == "train"]
