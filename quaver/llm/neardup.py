@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaver.llm.components import connected_components
-from quaver.llm.music import CHANGED, changed_notes, dense_keys, prefix, with_bars, with_keys
+from quaver.llm.music import CHANGED, changed_notes, dense_keys, packed, prefix, with_bars, with_keys
 from quaver.llm.scratch import cut
 
 GROUPS = 1 << 16
@@ -182,7 +182,7 @@ def links(items: DataFrame) -> DataFrame:
     shards = max(1, math.ceil((visits.agg(F.sum(F.size("visits"))).first()[0] or 0) / SHARD))
     shard = F.when(F.col("v.alone"), shards + F.pmod("v.place", F.lit(1 << 40))).otherwise(F.pmod("v.place", F.lit(shards)))
     group = F.transform("tokens", lambda t: F.shiftrightunsigned(t, 48).cast("int"))
-    points = items.select("rep", "need", "notes", group.alias("groups"), F.array_join("bars", "|").alias("bars"))
+    points = items.select("rep", "need", "notes", group.alias("groups"), "bars")
     return (
         visits.join(points, "rep")
         .select(F.explode("visits").alias("v"), "rep", "need", "notes", "groups", "bars")
@@ -202,7 +202,7 @@ def near_duplicates(scores: DataFrame) -> DataFrame:
     Scores whose ``pos`` or text is null or whose text holds no music have no row; a score like no
     other is its own group; other columns are not read.
     """
-    parsed = cut(with_bars(scores.where("pos is not null").select("pos", "text"), "text"), "bars")
+    parsed = cut(packed(with_bars(scores.where("pos is not null").select("pos", "text"), "text")), "bars")
     classes = cut(with_keys(parsed.groupBy("class").agg(F.min("pos").alias("rep"), F.first("bars").alias("bars"))), "classes")
     dense = cut(dense_keys(classes), "dense")
     found = cut(links(classes).unionByName(links(dense)), "links")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaver.llm.fmindex import BAR, END, FMIndex, Symbols, encode
-from quaver.llm.music import CHANGED, changed_notes, dense_keys, prefix, with_bars, with_keys
+from quaver.llm.music import CHANGED, changed_notes, dense_keys, packed, prefix, with_bars, with_keys
 from quaver.llm.scratch import cut
 
 #: Pairs of a shard, at most; each brings at most two records.
@@ -110,7 +110,7 @@ def candidates(classes: DataFrame, both: bool) -> DataFrame:
     """
     side = lambda flag, name, *more: classes.where(flag).select(F.col("class").alias(name), *more, F.explode("tokens").alias("token"))
     wanted = side("evaluation", "e", "need")
-    there = cut(side("training", "t", "need").join(wanted.select("token").distinct(), "token", "left_semi"), "held")
+    there = cut(side("training", "t", *(["need"] if both else [])).join(wanted.select("token").distinct(), "token", "left_semi"), "held")
     df = there.groupBy("token").agg(F.count("*").alias("df"))
     answers = prefix(there.join(df, "token"), "t") if both else there.select("t", "token")
     return prefix(wanted.join(df, "token"), "e").join(answers, "token").select("t", "e").distinct()
@@ -127,10 +127,10 @@ def overlaps(records: DataFrame, sides: DataFrame | None = None) -> DataFrame:
     record of which that many whole bars stand in a longer training record.  Records without text or
     music overlap with nothing; an empty side gives an empty result; repeated rows count once.
     """
-    parsed = cut(records.where("key is not null").select("key", "bars", "class", *([] if sides else ["training"])), "music")
-    side = (sides if sides else parsed).where("key is not null and training is not null").select("key", "training").distinct()
+    parsed = cut(packed(records.where("key is not null").select("key", "bars", "class", *([] if sides else ["training"]))), "music")
     # sides are joined to keys and classes only, so the music is shuffled once
-    named = cut(parsed.select("key", "class").distinct().join(side, "key"), "named")
+    named = parsed.select("key", "class").join(sides.where("training is not null").select("key", "training"), "key") if sides else parsed.where("training is not null")
+    named = cut(named.select("key", "class", "training").distinct(), "named")
     of_class = named.groupBy("class").agg(F.max("training").alias("training"), F.max(~F.col("training")).alias("evaluation"))
     classes = cut(with_keys(parsed.groupBy("class").agg(F.first("bars").alias("bars")).join(of_class, "class")), "classes")
     dense = cut(dense_keys(classes).select("class", "training", "evaluation", "need", "tokens"), "dense")
@@ -144,7 +144,7 @@ def overlaps(records: DataFrame, sides: DataFrame | None = None) -> DataFrame:
     held = sent.select(F.col("e").alias("class"), F.lit(False).alias("asks"), "shard", F.array().cast("array<bigint>").alias("partners")).distinct()
     found = cut(
         asked.unionByName(held)
-        .join(classes.select("class", F.array_join("bars", "|").alias("bars")), "class")
+        .join(classes.select("class", "bars"), "class")
         .groupBy("shard")
         .applyInPandas(_decide, "t long, e long"),
         "overlaps",
