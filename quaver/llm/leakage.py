@@ -9,9 +9,10 @@ A prefix-filtered set join on shingles of ``WORDS`` words:
    so only documents that hit an item's prefix are candidates (necessary prefix tokens).
 3. A candidate must have as many shingles as the threshold needs (length bound), at different places
    of the item (positional bound).
-4. Hits are chained in the item's order, within item-sized windows and over the whole document, and
-   the item's words they cover are counted exactly.
+4. Within windows of the document of one and a half times the item's length, hits are chained in the
+   item's order and the item's words they cover are counted exactly.
 
+A shingle is a hit only if each of its words is the item's word, not only their common hash.
 The item set is broadcast in blocks of at most ``BLOCK_SHINGLES`` shingles; larger sets take one
 pass over the corpus for each block.
 """
@@ -180,8 +181,8 @@ def item_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return *(np.concatenate(c) for c in zip(*found, strict=True)), words
 
 
-def _hits(wanted: np.ndarray, widths: list[int]):
-    """For mapInArrow: documents' shingles of ``widths`` words among the sorted ``wanted``."""
+def _hits(wanted: np.ndarray, widths: list[int], words_of: np.ndarray, first: np.ndarray):
+    """For mapInArrow: documents' shingles of ``widths`` words among the sorted ``wanted``, whose words are ``words_of`` from ``first`` on."""
     bits = 22
     sieve = np.zeros(1 << bits, bool)
     sieve[(wanted.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] = True
@@ -190,45 +191,48 @@ def _hits(wanted: np.ndarray, widths: list[int]):
         for b in batches:
             word, owner = word_hashes(b["text"].to_pylist())
             words = np.bincount(owner, minlength=b.num_rows) if len(owner) else np.zeros(b.num_rows, np.int64)
+            begin = np.concatenate(([0], np.cumsum(words)))[:-1]
             for width in widths:
                 h, doc, at = _shingles(word, owner, words, width)
                 may = np.flatnonzero(sieve[(h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)])
-                place = np.searchsorted(wanted, h[may])
-                found = may[wanted[np.minimum(place, len(wanted) - 1)] == h[may]]
+                place = np.minimum(np.searchsorted(wanted, h[may]), len(wanted) - 1)
+                same = wanted[place] == h[may]
+                own = begin[doc[may]] + at[may]
+                for k in range(width):  # word by word
+                    same &= word[np.minimum(own + k, max(len(word) - 1, 0))] == words_of[np.minimum(first[place] + k, len(words_of) - 1)]
+                found = may[same]
                 ids = b["doc_id"].to_numpy()[doc[found]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h[found], pa.int64()), pa.array(at[found], pa.int32())], ["doc_id", "h", "at"])
 
     return run
 
 
-def covered(item_at: np.ndarray, doc_at: np.ndarray, words: int) -> int:
-    """Most words of an item covered by hits that run in the item's order.
+def covered(doc_at: np.ndarray, doc_h: np.ndarray, item: dict[int, list[int]], words: int) -> int:
+    """Most words of an item covered, within a window of its own length and half of it, by hits that run in the item's order.
 
-    ``item_at``, ``doc_at``: first words of each common shingle.  Hits are chained by the longest
-    increasing run of item places, in every window of one and a half times the item's length and
-    once over the whole document, for passages parted by other text.
+    ``doc_at``, ``doc_h``: places and hashes of the document's hits; ``item``: the places of each
+    shingle in the item, last first.  Hits are chained by the longest increasing run of item places.
     """
-    order = np.lexsort((-item_at, doc_at))
-    item_at, doc_at = item_at[order], doc_at[order]
+    order = np.argsort(doc_at, kind="stable")
+    doc_at, hits = doc_at[order], doc_h[order].tolist()
     span = words + words // 2 + WORDS
-    best = _chain(item_at)
-    start = 0
-    seen_to = -1
-    while start < len(doc_at):
+    best, seen_to = 0, -1
+    starts = np.flatnonzero(np.concatenate(([True], doc_at[1:] != doc_at[:-1]))) if len(doc_at) else []
+    for start in starts:
         stop = int(np.searchsorted(doc_at, doc_at[start] + span, side="right"))
         if stop > seen_to:  # else inside a window already judged
-            best = max(best, _chain(item_at[start:stop]))
+            best = max(best, _chain([v for h in hits[start:stop] for v in item[h]]))
             seen_to = stop
-        start = int(np.searchsorted(doc_at, doc_at[start], side="right"))
+        if best >= words:
+            break
     return best
 
 
-def _chain(places: np.ndarray) -> int:
+def _chain(values: list[int]) -> int:
     """Words covered by the longest strictly increasing run of shingle places."""
     tails: list[int] = []
     index: list[int] = []
-    back = [-1] * len(places)
-    values = places.tolist()
+    back = [-1] * len(values)
     for i, v in enumerate(values):
         k = bisect_left(tails, v)
         if k == len(tails):
@@ -248,20 +252,15 @@ def _chain(places: np.ndarray) -> int:
     return total
 
 
-@F.pandas_udf(T.DoubleType())
-def _share(item_at: pd.Series, doc_at: pd.Series, words: pd.Series) -> pd.Series:
-    return pd.Series([min(covered(np.asarray(a), np.asarray(b), int(w)) / max(int(w), 1), 1.0) for a, b, w in zip(item_at, doc_at, words, strict=True)], dtype=float)
-
-
 def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """``(item_id, doc_id, share)``: documents that hold at least ``share`` of an item's words in its order.
 
     ``docs(doc_id, text)``, ``items(item_id, text)``; null and empty texts hold and are held by
-    nothing; an item of fewer than ``WORDS`` words is found where all of it stands; repeated items
-    or documents under one id count as one.
+    nothing; an item of fewer than ``WORDS`` words is found where all of it stands.  Of several items
+    under one id the least text counts; documents under one id count as one.
     """
     spark = docs.sparkSession
-    known = items.where("item_id is not null and text is not null").select("item_id", "text").dropDuplicates(["item_id"])
+    known = items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     n = known.count()
     blocks = max(1, -(-n // BLOCK_ITEMS))
     out = None
@@ -269,10 +268,12 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
         part = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else known
         pdf = part.toPandas()  # at most about BLOCK_ITEMS items
         h, owner, at, words = item_shingles(pdf["text"].tolist())
+        word = word_hashes(pdf["text"].tolist())[0]
+        begin = np.concatenate(([0], np.cumsum(words)))[:-1]
+        table = pd.DataFrame({"item_id": pdf["item_id"].to_numpy(np.int64)[owner], "h": h, "item_at": at.astype(np.int32), "words": words[owner].astype(np.int32), "first": (begin[owner] + at).astype(np.int64)})
         cuts = range(0, max(len(h), 1), BLOCK_SHINGLES)
-        table = pd.DataFrame({"item_id": pdf["item_id"].to_numpy(np.int64)[owner], "h": h, "item_at": at.astype(np.int32), "words": words[owner].astype(np.int32)})
         for c in cuts:
-            some = _leaks_of(spark, docs, table if len(cuts) == 1 else table[table["item_id"].isin(_slice_ids(table, c))], share)
+            some = _leaks_of(spark, docs, table if len(cuts) == 1 else table[table["item_id"].isin(_slice_ids(table, c))], word, share)
             out = some if out is None else out.unionByName(some)
     return out
 
@@ -283,15 +284,17 @@ def _slice_ids(table: pd.DataFrame, start: int) -> np.ndarray:
     return first[(first >= start) & (first < start + BLOCK_SHINGLES)].index.to_numpy()
 
 
-def _leaks_of(spark, docs: DataFrame, table: pd.DataFrame, share: float) -> DataFrame:
-    wanted = np.unique(table["h"].to_numpy(np.int64))
+def _leaks_of(spark, docs: DataFrame, table: pd.DataFrame, word: np.ndarray, share: float) -> DataFrame:
+    wanted, where = np.unique(table["h"].to_numpy(np.int64), return_index=True)
+    first = table["first"].to_numpy(np.int64)[where]
     widths = sorted({WORDS, *table["words"].clip(upper=WORDS).tolist()})
-    schema = "item_id long, h long, item_at int, words int"
-    places = spark.createDataFrame(table.astype({"h": "int64"}), schema) if len(table) else spark.createDataFrame([], schema)
+    schema = "item_id long, h long, places int, words int"
+    per = table.groupby(["item_id", "h"], as_index=False).agg(places=("item_at", "size"), words=("words", "max"))
+    places = spark.createDataFrame(per.astype({"places": "int32"}), schema) if len(per) else spark.createDataFrame([], schema)
     if not len(wanted):
-        wanted = np.zeros(1, np.int64)
+        wanted, first, word = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint64)
     hits = cut(
-        docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_hits(wanted, widths), "doc_id long, h long, at int").distinct(),
+        docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_hits(wanted, widths, word, first), "doc_id long, h long, at int").distinct(),
         "hits",
     )
     rarity = hits.groupBy("h").agg(F.countDistinct("doc_id").alias("df"))
@@ -300,8 +303,7 @@ def _leaks_of(spark, docs: DataFrame, table: pd.DataFrame, share: float) -> Data
     need = F.greatest(F.lit(1), F.ceil(F.col("words") * share / WORDS).cast("int"))
     later = Window.partitionBy("item_id").orderBy(F.desc("df"), F.desc("h"))
     ranked = (
-        places.groupBy("item_id", "words", "h").agg(F.count("*").alias("places"))
-        .join(rarity, "h", "left")
+        places.join(rarity, "h", "left")
         .withColumn("df", F.coalesce("df", F.lit(0)))
         .withColumn("upto", F.sum("places").over(later))
         .where(F.col("upto") >= need)
@@ -309,17 +311,24 @@ def _leaks_of(spark, docs: DataFrame, table: pd.DataFrame, share: float) -> Data
     )
     small = F.broadcast if len(table) <= BLOCK_SHINGLES else (lambda x: x)
     may = hits.join(small(ranked), "h").select("item_id", "doc_id").distinct()
-    both = (
-        hits.join(may, "doc_id")
-        .join(small(places), ["item_id", "h"])
-        .select("item_id", "doc_id", "item_at", "at", "words")
-    )
-    hit = F.collect_list(F.struct("at", "item_at"))
+    both = hits.join(may, "doc_id").join(small(places), ["item_id", "h"]).select("item_id", "doc_id", "at", "h", "places", "words")
+    # an item's places of each shingle are looked up where its document is judged: a row here is a place of the document
+    of_item: dict[int, dict[int, list[int]]] = {}
+    for i, h, at in table.sort_values("item_at", ascending=False)[["item_id", "h", "item_at"]].itertuples(index=False, name=None):
+        of_item.setdefault(i, {}).setdefault(h, []).append(at)
+    held = spark.sparkContext.broadcast(of_item)  # at most BLOCK_SHINGLES places
+
+    @F.pandas_udf(T.DoubleType())
+    def judged(item_id: pd.Series, at: pd.Series, h: pd.Series, words: pd.Series) -> pd.Series:
+        rows = zip(item_id, at, h, words, strict=True)
+        return pd.Series([min(covered(np.asarray(a), np.asarray(x), held.value[int(i)], int(w)) / max(int(w), 1), 1.0) for i, a, x, w in rows], dtype=float)
+
+    # length bound: places of the item that the document's different shingles have together, before any window is looked at
+    enough = both.groupBy("item_id", "doc_id", "h").agg(F.max("places").alias("places"), F.max("words").alias("words"), F.collect_list("at").alias("at"))
     return (
-        both.groupBy("item_id", "doc_id")
-        .agg(F.max("words").alias("words"), F.countDistinct("item_at").alias("k"), hit.alias("l"))
-        # length bound: distinct item places among the hits, before any window is looked at
+        enough.groupBy("item_id", "doc_id")
+        .agg(F.max("words").alias("words"), F.sum("places").alias("k"), F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list(F.transform("at", lambda _: F.col("h")))).alias("h"))
         .where(F.col("k") >= F.greatest(F.lit(1), F.ceil(F.col("words") * share / WORDS).cast("int")))
-        .select("item_id", "doc_id", _share(F.col("l.item_at"), F.col("l.at"), F.col("words")).alias("share"))
+        .select("item_id", "doc_id", judged("item_id", "at", "h", "words").alias("share"))
         .where(F.col("share") >= share)
     )
