@@ -34,7 +34,7 @@ def is_invisible(ch: str) -> bool:
 def plain_letters() -> tuple[str, str]:
     """``(from, to)`` for ``translate``: accents, width and look-alikes folded to lower-case ASCII, marks and invisible characters dropped (``from`` is longer than ``to``)."""
     pairs, drop = [], []
-    for cp in (*range(0x80, 0x530), *range(0x1E00, 0x2070), *range(0x3000, 0x3001), *range(0xFE00, 0xFE10), 0xFEFF, *range(0xFF00, 0xFFF0)):
+    for cp in (*range(0x80, 0x590), *range(0x1E00, 0x2070), *range(0x3000, 0x3001), *range(0xFE00, 0xFE10), 0xFEFF, *range(0xFF00, 0xFFF0)):
         ch = chr(cp)
         if unicodedata.combining(ch) or is_invisible(ch):
             drop.append(ch)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 import unicodedata
@@ -90,14 +91,46 @@ def test_repair():
         have, floor = rng.integers(0, 200, k), rng.integers(0, 30, k)
         share = rng.dirichlet(np.ones(k))
         rows = int(rng.integers(1, 300))
-        take = sample.repair(have, share, floor, rows, 3)
+        take, short = sample.repair(have, share, floor, rows, 3)
         low = np.minimum(floor, have)
         assert (take >= low).all() and (take <= have).all() and take.sum() == max(low.sum(), min(rows, have.sum()))
+        assert (short == (have < np.maximum(share * rows, floor))).all()
         # no exchange of one record would help
-        gap = take - share * rows
+        goal = share * rows
+        weight = 1 / np.maximum(goal, 0.5)
+        slope = 2 * (take - goal) * weight
         for a in np.flatnonzero(take > low):
             for b in np.flatnonzero(take < have):
-                assert a == b or gap[a] - gap[b] <= 1 + 1e-9
+                assert a == b or slope[a] - slope[b] - weight[a] - weight[b] <= 1e-6
+
+
+def test_small_categories_keep_their_proportion():
+    have, share = np.array([9000, 1400, 900, 700, 30]), np.array([0.79, 0.08, 0.08, 0.04, 0.01])
+    take, short = sample.repair(have, share, np.array([0, 0, 0, 600, 0]), 1000, 0)
+    assert take.tolist() == pytest.approx([329, 33, 33, 600, 4], abs=1) and not short.any()  # 400 left in proportion to 79 : 8 : 8 : 1
+
+
+def test_exchange_of_joint_signatures():
+    rng = np.random.default_rng(5)
+    member = np.array([(a, 3 + b) for a in range(3) for b in range(4)] + [(-1, 3)])
+    for _ in range(30):
+        have = rng.integers(20, 400, 13)
+        goal = np.concatenate((rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(4)))) * 150
+        floor = rng.integers(0, 20, 7)
+        take = sample.exchange(have, member, goal, floor, 150, 1)
+        got = np.array([take[(member == c).any(axis=1)].sum() for c in range(7)])
+        cost = lambda g: ((g - goal) ** 2 / np.maximum(goal, 0.5)).sum()
+        assert (take >= 0).all() and (take <= have).all() and take.sum() == 150 and (got >= floor).all()
+        for a, b in itertools.permutations(range(13), 2):
+            if take[a] and take[b] < have[b]:
+                other = got.copy()
+                for c in member[a]:
+                    other[c] -= c >= 0
+                for c in member[b]:
+                    other[c] += c >= 0
+                assert (other < floor).any() or cost(other) > cost(got) - 1e-6
+    huge = sample.exchange(np.array([10**12, 10**10]), np.arange(2)[:, None], np.array([5e8, 5e8]), np.zeros(2, np.int64), 10**9, 0)
+    assert huge.tolist() == [5 * 10**8] * 2
 
 
 def test_sample_on_tables(spark, sf):
@@ -107,7 +140,7 @@ def test_sample_on_tables(spark, sf):
     got = sample.draw(*args).toPandas()
     count = got.groupby(["dimension", "category"]).size()
     for r in plan.itertuples():
-        assert count.get((r.dimension, r.category), 0) == r.take <= r.have and r.take >= min(r.have, r.min_rows)
+        assert count.get((r.dimension, r.category), 0) == r.drawn <= r.have and r.drawn >= min(r.have, r.min_rows)
         assert r.met == (r.have >= max(r.target_share * r.sample_rows, r.min_rows))
     assert not got.duplicated(["dimension", "pos"]).any()
     assert (got.groupby("dimension").size() == plan.groupby("dimension").apply(lambda g: max(g["sample_rows"].iloc[0], np.minimum(g["have"], g["min_rows"]).sum()), include_groups=False).clip(upper=plan.groupby("dimension")["have"].sum())).all()
@@ -123,13 +156,16 @@ def test_sample_categories_and_buckets(spark, monkeypatch):
     )
     rows = [(i, ["Barock", "baroque ", None, "siren"][i % 4], ["Ada Cole", "Cole, A.", "COLE", None, "Ben Cole", "anon"][i % 6], {"label": ["Q1", "quadrant 1", " q1", "1", "Q5", ""][i % 6]} if i % 7 else None, "x", 3) for i in range(210)]
     scores = spark.createDataFrame([*rows, rows[0], (None, "Barock", None, None, "x", 3)], "pos long, style string, composer string, extras map<string,string>, category string, take long")
-    have = {r["target_id"]: (r["have"], r["met"], r["take"]) for r in sample.report(scores, targets, terms).collect()}
+    have = {r["target_id"]: (r["have"], r["met"], r["drawn"]) for r in sample.report(scores, targets, terms).collect()}
     q1 = sum(1 for i in range(210) if i % 7 and i % 6 < 4)
     assert have[1][0] == sum(i % 4 < 2 for i in range(210)) and have[2] == (0, False, 0) and have[1][1:] == (True, 40)
     # "COLE" alone fits two composers and so names neither
     assert have[3][0] == sum(i % 6 < 2 for i in range(210)) and have[4][0] == 210 - have[3][0] and have[5][0] == q1 and have[6][0] == 210 - q1
     got = sample.draw(scores, targets, terms).toPandas().groupby(["dimension", "category"]).size().to_dict()
     assert got == {("style", "Baroque"): 40, ("composer", "Ada Cole"): 36, ("composer", "(any other)"): 4, ("extras.label", "Q1"): 38, ("extras.label", "(none)"): 2}
+    joint = sample.draw(scores, targets, terms, together=True).toPandas()
+    plan = sample.report(scores, targets, terms, together=True).toPandas()
+    assert joint["pos"].nunique() == 40 and {(r.dimension, r.category): r.drawn for r in plan.itertuples() if r.drawn} == joint.groupby(["dimension", "category"]).size().to_dict()
     assert sample.draw(scores.limit(0), targets, terms).count() == 0 and sample.draw(scores, targets.limit(0), terms).count() == 0
 
 
@@ -268,31 +304,43 @@ def test_leaks_of_repeated_and_short_items(spark):
     ("a", "b"),
     [("café", "café"), ("note", "nоte"), ("Ｗｉｄｅ １２", "Wide 12"), ("a b", "a b"), ("ab", "a​b"), ("ab", "a­b"), ("ё", "ё"), ("fi", "ﬁ"), ("ΑΒ", "AB"), ("a-b", "a‑b"), ("a\nb", "a\r\nb"), ("x﻿", "x"), ("a  　b", "a   b")],
 )
-def test_look_the_same(a, b):
+def test_look_the_same(spark, a, b):
     assert skeleton.skeleton(a) == skeleton.skeleton(b)
+    table = skeleton.confusables(spark)
+    assert skeleton.skeleton(a, table) == skeleton.skeleton(b, table)
+
+
+@pytest.mark.parametrize(("a", "b"), [("γ", "y"), ("σ", "o"), ("Ѵ", "V"), ("ѵ", "v"), ("Ꭺ", "A"), ("ꓐ", "B"), ("ⲟ", "o"), ("ⅴ", "v"), ("∕", "/"), ("⁄", "/"), ("’", "'"), ("І", "I"), ("ӏ", "l"), ("∣", "|"), ("ո", "n")])
+def test_listed_confusables(spark, a, b):
+    table = skeleton.confusables(spark)
+    assert skeleton.skeleton(f"x {a} z", table) == skeleton.skeleton(f"x {b} z", table) == f"x {b} z"
+    assert fold.folded_py("օնս") == spark.range(1).select(fold.folded(F.lit("օնս"))).first()[0]
 
 
 @pytest.mark.parametrize(("a", "b"), [("a", "A"), ("e", "é"), ("c4", "c8"), ("l", "1"), ("O", "0"), ("x²", "x2"), ("и", "й"), ("a b", "a\nb"), ("a b", "ab"), ("m", "rn"), ("ß", "ss"), ("o", "ö")])
-def test_look_different(a, b):
+def test_look_different(spark, a, b):
     assert skeleton.skeleton(a) != skeleton.skeleton(b)
+    assert skeleton.skeleton(a, skeleton.confusables(spark)) != skeleton.skeleton(b, skeleton.confusables(spark))
 
 
-def test_forms_are_stable():
+def test_forms_are_stable(spark):
     every = "".join(chr(c) for c in range(0x20, 0x30000) if unicodedata.category(chr(c)) not in ("Cs", "Cn", "Co"))
     for k in range(0, len(every), 1000):
-        once = skeleton.skeleton(every[k : k + 1000])
-        assert skeleton.skeleton(once) == once
+        for table in (None, skeleton.confusables(spark)):
+            once = skeleton.skeleton(every[k : k + 1000], table)
+            assert skeleton.skeleton(once, table) == once
 
 
 def test_look_alikes(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["text"] is not None]
     by = {}
+    table = skeleton.confusables(spark)
     for i, t in rows:
-        by.setdefault(skeleton.skeleton(t), []).append((i, t))
+        by.setdefault(skeleton.skeleton(t, table), []).append((i, t))
     want = sorted((a, b) for g in by.values() for a, x in g for b, y in g if a < b and x != y)
     assert sorted(map(tuple, skeleton.look_alikes(docs).collect())) == want
-    assert {r["doc_id"]: r["form"] for r in skeleton.forms(docs).where("form is not null").collect()} == {i: skeleton.skeleton(t) for i, t in rows}
+    assert {r["doc_id"]: r["form"] for r in skeleton.forms(docs).where("form is not null").collect()} == {i: skeleton.skeleton(t, table) for i, t in rows}
     edge = [(1, "note"), (2, "nоte"), (3, "note"), (3, "note"), (4, None), (5, ""), (6, "​"), (7, "Note"), (None, "nоte"), (8, "x" * 300_000), (9, "х" * 300_000)]
     assert sorted(map(tuple, skeleton.look_alikes(docs_of(spark, edge)).collect())) == [(1, 2), (2, 3), (5, 6), (8, 9)]
     assert skeleton.look_alikes(docs_of(spark, [])).count() == 0 and skeleton.forms(docs_of(spark, edge)).where(F.col("form").isNull()).count() == 1
