@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import json
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -19,10 +20,11 @@ from quaver import __version__
 from quaver.functions import numeric as N
 from quaver.operators import external
 from quaver.operators import scores as S
+from quaver.operators.descriptors import descriptors
 from quaver.operators.joins import align
 from quaver.operators.selection import limit_per_task
 from quaver.plans import chat, tasks
-from quaver.sources import files
+from quaver.sources import files, midi
 
 METRICS = ["polyphony_rate", "groove_consistency", "scale_consistency"]
 
@@ -33,7 +35,11 @@ OPTIONS: dict[tuple[str, str], list[tuple]] = {
     ("understanding", "build"): [("tasks", str, "all"), ("corpus", str, "manifest"), ("manifest", str, ...), ("scores-dir", str, None), ("seed", int, 1234), ("limit", int, None), ("out", str, ...)],
     ("understanding", "run"): [("model", str, ...), ("bench", str, ...), ("tasks", str, "all"), ("limit", int, None), ("max-new-tokens", int, 20), ("max-input-chars", int, None), ("seed", int, 1234), ("loader", str, ...), ("out", str, ...)],
     ("metrics", "understanding"): [("bench", str, ...), ("predictions", str, ...), ("model-id", str, None), ("out", str, ...)],
-    ("metrics", "generation"): [("samples", str, ...), ("reference", str, None), ("descriptors", str, None), ("reference-descriptors", str, None), ("reference-cache", str, None), ("encoder", str, None), ("lilypond", str, None), ("out", str, ...)],
+    ("metrics", "generation"): [
+        ("samples", str, ...), ("reference-test", str, None), ("reference-second", str, None), ("reference-test-midi", str, None), ("reference-second-midi", str, None),
+        ("reference-cache", str, None), ("encoder", str, None), ("lilypond", str, None), ("out", str, ...), ("files-out", str, None),
+    ],
+    ("corpus", "upgrade"): [("source", str, ...), ("out-dir", str, ...), ("manifest-out", str, ...), ("convert-ly", str, None), ("to", str, external.UPGRADE_TO)],
 }
 
 
@@ -121,25 +127,60 @@ def _score(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def midi_descriptors(files_: DataFrame, content: str) -> DataFrame:
+    """Descriptors of every MIDI file, nulls for one without notes; a measure is a quarter note, as the metric asks."""
+    return files_.select(F.col("path").alias("file")).join(descriptors(midi.notes(files_, "path", content), "resolution"), "file", "left")
+
+
 def _generation(spark: SparkSession, a: argparse.Namespace) -> int:
-    made = files.read_samples(spark, a.samples)
-    rate = S.compile_rate(external.compiled(made.select("path", "text"), lilypond=a.lilypond), "ok").first()
-    out: dict[str, object] = {"compile_rate": rate["compile_rate"], "n": rate["n"], "n_ok": rate["n_ok"], "js_similarity": None, "frechet": None}
-    if a.descriptors and (a.reference_descriptors or a.reference_cache):
-        ref = files.cached_reference(spark, a.reference_cache, (lambda: spark.read.parquet(a.reference_descriptors)) if a.reference_descriptors else None, METRICS)
+    samples = files.read_samples(spark, a.samples)
+    results = (a.files_out or f"{a.out}.files").rstrip("/")
+    # programs run once; what they made is kept beside the summary
+    external.compiled(samples.select("path", "stem", "text"), lilypond=a.lilypond).write.mode("overwrite").parquet(f"{results}/compiled")
+    made = spark.read.parquet(f"{results}/compiled")
+    midi_descriptors(made.where("ok"), "midi").write.mode("overwrite").parquet(f"{results}/descriptors")
+    ours = spark.read.parquet(f"{results}/descriptors")
+    stats = N.descriptor_stats(ours, METRICS)
+    rate = S.compile_rate(made, "ok").first()
+    js, frechet = {}, {}
+    for name, folder, cache in (("test", a.reference_test_midi, a.reference_cache), ("second", a.reference_second_midi, None)):
+        build = (lambda folder=folder: midi_descriptors(files.midi_files(spark, folder), "content")) if folder else None
+        ref = files.cached_reference(spark, cache, build, METRICS) if folder else None
         if ref is not None:
-            out["js_similarity"] = N.js_similarity(N.descriptor_stats(spark.read.parquet(a.descriptors), METRICS), ref).first()[0]
-    if a.encoder and a.reference:
-        ours, theirs = files.documents(made).select("text"), files.reference_documents(spark, a.reference)
-        if min(ours.limit(2).count(), theirs.limit(2).count()) == 2:
-            out["frechet"] = N.frechet(*(external.embed(x, "text", hook(a.encoder)) for x in (ours.withColumn("id", F.lit(0)), theirs.withColumn("id", F.lit(0)))))
-    files.write_document(spark.createDataFrame([out], "compile_rate double, n bigint, n_ok bigint, js_similarity double, frechet double"), a.out)
+            value = N.js_similarity(stats, ref).first()
+            js[name] = value[0] if value else None
+    if a.encoder:
+        texts = files.documents(samples).select("text")
+        for name, path in (("test", a.reference_test), ("second", a.reference_second)):
+            theirs = files.reference_documents(spark, path) if path else None
+            if theirs is not None and min(texts.limit(2).count(), theirs.limit(2).count()) == 2:
+                frechet[name] = N.frechet(*(external.embed(x.withColumn("id", F.lit(0)), "text", hook(a.encoder)) for x in (texts, theirs)))
+    reasons = made.where("not ok").groupBy("error").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error").limit(20).collect()  # a report of the most frequent
+    described = {r["metric"]: {k: v for k, v in r.asDict().items() if k != "metric"} for r in stats.collect()}  # a row a metric
+    out = {"n_samples": rate["n"], "n_ok": rate["n_ok"], "compile_rate": rate["compile_rate"], "errors": {r["error"]: r["n"] for r in reasons}, "descriptors": described, "js_similarity": js, "frechet": frechet, "files": results}
+    files.write_text(spark, a.out, json.dumps(out, indent=2, ensure_ascii=False))
+    return 0
+
+
+def _upgrade(spark: SparkSession, a: argparse.Namespace) -> int:
+    root = a.source.rpartition("/")[0] or "."
+    listed = files.read_map(spark, a.source, files.MANIFEST)
+    found = files.resolved_path("entry", root, files.read_texts(spark, root, recursive=True), listed.withColumn("entry", F.col("entry").withField("convert_ly_path", F.lit(None).cast("string"))))
+    texts = files.read_texts(spark, root, recursive=True).select("path", "text")
+    done = external.converted(found.join(texts, "path").select("key", "path", F.col("text").alias("content")), "content", "convert-ly", a.convert_ly, a.to)
+    done.write.mode("overwrite").parquet(f"{a.out_dir}/.outcomes")
+    kept = spark.read.parquet(f"{a.out_dir}/.outcomes")
+    good = kept.where("text is not null")
+    good.select("text", F.col("key").alias("entry")).repartition("entry").write.mode("overwrite").partitionBy("entry").text(f"{a.out_dir}/scores")
+    files.write_manifest(spark, a.source, good.select("key", F.concat(F.lit(f"{a.out_dir}/scores/entry="), "key").alias("out_path")), a.manifest_out)
+    for r in kept.where("error is not null").groupBy("error").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error").limit(10).collect():  # the ten most frequent reasons
+        print(f"{r['n']:>6}  {r['error']}", file=sys.stderr)
     return 0
 
 
 HANDLERS = {
     ("prompt-bank", "build"): _prompt_bank, ("generation", "run"): _generate, ("understanding", "build"): _build,
-    ("understanding", "run"): _answer, ("metrics", "understanding"): _score, ("metrics", "generation"): _generation,
+    ("understanding", "run"): _answer, ("metrics", "understanding"): _score, ("metrics", "generation"): _generation, ("corpus", "upgrade"): _upgrade,
 }
 
 

@@ -194,9 +194,9 @@ def digit_sequence(c: Column) -> Column:
 
 
 def bar_list(c: Column) -> Column:
-    """Different whole numbers in a text, in order; numbers beyond 38 digits are left out."""
+    """Different whole numbers in a text, in order, as digits without leading zeros, however long."""
     runs = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\d+"), F.lit(0))
-    return F.filter(F.array_distinct(F.transform(runs, lambda x: x.try_cast("decimal(38,0)"))), lambda x: x.isNotNull())
+    return F.array_distinct(F.transform(runs, lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")))
 
 
 def longest_run(c: Column) -> Column:

@@ -1,6 +1,6 @@
 """Descriptors of note tables: polyphony rate, groove consistency, scale consistency.
 
-``notes(file, onset bigint, duration bigint, pitch int)``, times in ticks.  Definitions follow the
+``notes(file, onset bigint, duration bigint, pitch int)``, times in ticks; ``measure`` is a number of ticks or, where files differ, a column of notes.  Definitions follow the
 published descriptions of these measures; a file without notes has nulls.
 """
 
@@ -25,14 +25,16 @@ def polyphony_rate(notes: DataFrame) -> DataFrame:
     return spans.groupBy("file").agg(F.try_divide(F.sum(F.when(F.col("pitches") >= 2, F.col("len"))), F.sum(F.when(F.col("pitches") >= 1, F.col("len")))).alias("_p")).select("file", F.coalesce("_p", F.lit(0.0)).alias("polyphony_rate"))
 
 
-def groove_consistency(notes: DataFrame, measure: int) -> DataFrame:
+def groove_consistency(notes: DataFrame, measure: int | str) -> DataFrame:
     """1 less the mean share of ticks at which the onsets of neighbouring measures of ``measure`` ticks differ; null for a single measure."""
+    notes = notes.withColumn("_measure", F.col(measure) if isinstance(measure, str) else F.lit(measure))
+    measure = F.col("_measure")
     hits = notes.select("file", F.floor(F.col("onset") / measure).alias("m"), (F.col("onset") % measure).alias("at")).distinct()
     size = hits.groupBy("file", "m").agg(F.count("*").alias("n"))
     both = hits.join(hits.select("file", (F.col("m") - 1).alias("m"), "at"), ["file", "m", "at"]).groupBy("file", "m").agg(F.count("*").alias("k"))
-    last = notes.groupBy("file").agg(F.floor(F.max("onset") / measure).alias("last"))
+    last = notes.groupBy("file").agg(F.floor(F.max("onset") / F.max(measure)).alias("last"), F.max(measure).alias("_measure"))
     # the sum of |A xor B| over neighbours is sum(n) + sum(n of the next) - 2 sum(common)
-    total = size.join(last, "file").groupBy("file", "last").agg((F.sum(F.when(F.col("m") < F.col("last"), F.col("n")).otherwise(0)) + F.sum(F.when(F.col("m") > 0, F.col("n")).otherwise(0))).alias("n"))
+    total = size.join(last, "file").groupBy("file", "last", "_measure").agg((F.sum(F.when(F.col("m") < F.col("last"), F.col("n")).otherwise(0)) + F.sum(F.when(F.col("m") > 0, F.col("n")).otherwise(0))).alias("n"))
     common = both.groupBy("file").agg(F.sum("k").alias("k"))
     differ = F.col("n") - 2 * F.coalesce("k", F.lit(0))
     return total.join(common, "file", "left").select("file", F.when(F.col("last") > 0, 1 - differ / (F.col("last") * measure)).alias("groove_consistency"))
@@ -44,7 +46,7 @@ def scale_consistency(notes: DataFrame) -> DataFrame:
     return notes.groupBy("file").agg(F.try_divide(F.greatest(*sizes), F.count("*")).alias("scale_consistency"))
 
 
-def descriptors(notes: DataFrame, measure: int) -> DataFrame:
+def descriptors(notes: DataFrame, measure: int | str) -> DataFrame:
     """All three for every file."""
     return notes.select("file").distinct().join(polyphony_rate(notes), "file", "left").join(groove_consistency(notes, measure), "file", "left").join(scale_consistency(notes), "file", "left")
 

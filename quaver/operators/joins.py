@@ -65,13 +65,12 @@ def labelled(clips: DataFrame, labels: DataFrame, stem: str = "stem") -> DataFra
 def other_values(df: DataFrame, pool: DataFrame, gold: str, value: str = "value") -> DataFrame:
     """Rows beside the array of all pool values other than their own.
 
-    The pool is one row; it is only put together if it has at most ``SMALL`` values.
+    The pool is one row beside every row of ``df``, which should be those drawn, not all; it is
+    broadcast if it has at most ``SMALL`` values.
     """
     n = pool.count()
-    if n > SMALL:
-        raise ValueError(f"a pool of {n} values is too large to stand beside every row")
     one = pool.agg(F.array_sort(F.collect_set(value)).alias("pool"))
-    return df.crossJoin(F.broadcast(one)).withColumn("pool", F.filter("pool", lambda v: v != F.col(gold)))
+    return df.crossJoin(if_small(one, n)).withColumn("pool", F.filter("pool", lambda v: v != F.col(gold)))
 
 
 def with_split(works: DataFrame, splits: DataFrame, key: str = "work") -> DataFrame:

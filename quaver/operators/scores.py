@@ -57,7 +57,7 @@ def sequencing(df: DataFrame, pred: str, gold: str, *by: str) -> DataFrame:
 def error_f1(df: DataFrame, answer: str, raw: str, gold_bars: str, category: str) -> DataFrame:
     """Rows with ``f1`` of the bars named in the answer (or, if it is empty, in the raw output) and ``category``, ``unknown`` if missing."""
     said = F.when(F.coalesce(F.col(answer), F.lit("")) != "", F.col(answer)).otherwise(F.col(raw))
-    gold = F.transform(F.coalesce(F.col(gold_bars), F.array().cast("array<int>")), lambda b: b.cast("decimal(38,0)"))
+    gold = F.transform(F.coalesce(F.col(gold_bars), F.array().cast("array<int>")), lambda b: b.cast("string"))
     return df.withColumn("f1", set_f1(bar_list(said), gold)).withColumn("category", F.coalesce(F.col(category), F.lit("unknown")))
 
 

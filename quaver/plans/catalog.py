@@ -18,10 +18,11 @@ from quaver.operators import errors as E
 from quaver.operators import joins as J
 from quaver.operators import scores as S
 from quaver.operators import selection as R
+from quaver.operators.descriptors import descriptors
 from quaver.plans import chat, tasks
 from quaver.plans.oracle import ORACLE
 from quaver.sources import files
-from quaver.sources.scratch import scratch
+from quaver.sources.scratch import scratch, written
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -100,7 +101,7 @@ _on_outputs("t15_digit_sequence", lambda: dict(v=T.digit_sequence(F.col("raw_out
 _on_outputs("t16_bar_list", lambda: dict(v=joined(T.bar_list(F.col("raw_output")))))
 _on_outputs("t17_strip_fence", lambda: dict(v=T.strip_fence(F.col("raw_output"))))
 _on_outputs("n01_sequencing_score", lambda: dict(v=F.round(N.sequencing_score(F.col("raw_output"), F.coalesce("gold", F.lit(""))), 6)))
-_on_outputs("n02_set_f1", lambda: dict(v=F.round(N.set_f1(T.bar_list(F.col("raw_output")), F.transform(F.coalesce("gold_bars", F.array().cast("array<int>")), lambda b: b.cast("decimal(38,0)"))), 6)))
+_on_outputs("n02_set_f1", lambda: dict(v=F.round(N.set_f1(T.bar_list(F.col("raw_output")), F.transform(F.coalesce("gold_bars", F.array().cast("array<int>")), lambda b: b.cast("string"))), 6)))
 _on_outputs("n08_abs_diff", lambda: dict(v=N.abs_diff(F.col("parsed_answer"), F.col("gold")).cast("bigint")))
 
 
@@ -284,7 +285,7 @@ def _descriptors(spark: SparkSession, d: str, side: int | None) -> DataFrame:
 
 @query
 def a08_descriptor_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Statistics over all events.  The SQL takes those of even ids only."""
+    """Statistics over all events."""
     return _rounded(_descriptors(spark, d, None))
 
 
@@ -305,7 +306,7 @@ def a11_first_seen(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def a12_group_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Records of every category, those of none as ``None``.  The SQL leaves out records without a category and knows no chunks."""
+    """Records of every category, those of none as ``None``."""
     return S.group_lists(_t(spark, d, "bench"), "category", "rec_no").select("category", "chunk", joined(F.col("values")).alias("v"))
 
 
@@ -398,6 +399,7 @@ def r11_category_fill(spark: SparkSession, d: str) -> DataFrame:
     per = max(1, 220 // len(E.CATEGORIES))
     four = scores(spark, d).where(T.count_bars(F.col("text")) >= 4).select("pos", "text")
     pool = P.sample(four, 8 * per * len(E.CATEGORIES), P.key(SEED, "r11", F.col("pos")), "pos").withColumn("rn", F.col("i") + 1)
+    pool = written(pool, "pool")
     flagged = pool.select("rn", "pos", *[E.applicable(F.col("text"), c).alias(f"ok_{c}") for c in E.CATEGORIES])
     return R.fill_categories(flagged, 220).join(flagged.select("rn", "pos"), "rn").select("rn", "pos", "category")
 
@@ -426,7 +428,7 @@ def r15_limit(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def u00_union_of_tasks(spark: SparkSession, d: str) -> DataFrame:
-    """Set operations of the reference: all tasks' concatenated record lists, and the union without repeats.  The SQL knows only some tasks."""
+    """Set operations of the reference: all tasks' concatenated record lists, and the union without repeats."""
     b = _t(spark, d, "bench").select("task", "id")
     lists = [b.where(F.col("task") == t.name) for t in tasks.iter_tasks()]
     return reduce(DataFrame.unionByName, lists).distinct()
@@ -462,6 +464,14 @@ def n04_js_similarity(spark: SparkSession, d: str) -> DataFrame:
     return N.js_similarity(_descriptors(spark, d, 0), _descriptors(spark, d, 1)).select(F.round("js_similarity", 4).alias("js_similarity"))
 
 
+@query
+def n07_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptors of the notes that the events stand for, a file a user."""
+    e = _t(spark, d, "events").where("user_id is not null and value is not null")
+    notes = e.select(F.col("user_id").cast("string").alias("file"), F.expr("event_id div 4").alias("onset"), (F.ceil("value") % 64 + 1).alias("duration"), (F.col("event_id") % 48 + 36).cast("int").alias("pitch"))
+    return _rounded(descriptors(notes, 96))
+
+
 @query
 def n05_frechet(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "embeddings")
@@ -524,9 +534,17 @@ def s13_prompt_bank(spark: SparkSession, d: str) -> DataFrame:
     return files.read_jsonl(spark, path, files.PROMPT).select("id", "source_id", "user_prompt", F.col("metadata.part").alias("part"))
 
 
+@query
+def s15_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Samples written in a file each and read again."""
+    path = scratch(spark, "samples")
+    files.write_samples(_t(spark, d, "heldout_items").select(F.col("item_id").alias("i"), F.col("text").alias("raw"), F.col("text").alias("final")), path)
+    return files.read_samples(spark, path).select("stem", "text")
+
+
 @query
 def s16_predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Predictions written in a folder a model and task, and those of all tasks read again.  The SQL knows only one task."""
+    """Predictions written in a folder a model and task, and those of all tasks read again."""
     path = scratch(spark, "predictions")
     rows = answers(spark, d).select(F.col("model_id").alias("model"), "task", "id", "raw_output", "parsed_answer", "latency_ms").where("model is not null")
     files.write_predictions(rows, path)

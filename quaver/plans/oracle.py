@@ -222,7 +222,7 @@ ORACLE["a05_macro_f1"] = f"select model_id, sum(k)::bigint as n, round(sum(m * k
 ORACLE["a06_confusion"] = f"""with r as (select e.gold, case when s.label in ('Q1','Q2','Q3','Q4') then s.label else 'off_grid' end as p from {SCORES} s join (select distinct clip_id, label as gold from emotion_clips) e using (clip_id))
 select g.gold, {', '.join(f"count(*) filter (where p = '{c}') as {c}" for c in ('Q1', 'Q2', 'Q3', 'Q4', 'off_grid'))} from (values ('Q1'), ('Q2'), ('Q3'), ('Q4')) g(gold) left join r using (gold) group by g.gold"""
 ORACLE["a07_compile_rate"] = "select model_id, round(avg(contains(raw_output, '```')::int), 6) as compile_rate, count(*) filter (where contains(raw_output, '```')) as n_ok, count(*) as n from predictions group by model_id"
-ROWS = lambda side: f"(select user_id, avg(value) as polyphony_rate, max(value) - min(value) as groove_consistency, count(*)::double as scale_consistency from events where event_id % 2 = {side} group by user_id)"
+ROWS = lambda side: f"(select user_id, avg(value) as polyphony_rate, max(value) - min(value) as groove_consistency, count(*)::double as scale_consistency from events{'' if side is None else f' where event_id % 2 = {side}'} group by user_id)"
 STATS = lambda side: " union all ".join(f"select '{m}' as metric, avg({m}) as mean, stddev_samp({m}) as std, count({m}) as n from {ROWS(side)}" for m in ("polyphony_rate", "groove_consistency", "scale_consistency"))
 ORACLE["a08_descriptor_stats"] = f"select metric, round(mean, 6) as mean, round(std, 6) as std, n from ({STATS(0)})"
 ORACLE["j10_metric_join"] = f"select metric, round(a.mean, 6) as mean_a, round(b.mean, 6) as mean_b from ({STATS(0)}) a join ({STATS(1)}) b using (metric)"
@@ -233,6 +233,15 @@ d as (select *, exp(-0.5 * ((x - mu1) / sd1) ** 2) / (sd1 * sqrt(2 * pi())) as p
 j as (select metric, sum(case when p > 0 and q + p > 0 then p * ln(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * ln(q / ((p + q) / 2)) else 0 end) * 0.5 * any_value(dx) as js from d group by metric)"""
 ORACLE["n03_js_divergence"] = f"{JS} select metric, round(js, 6) as js from j"
 ORACLE["n04_js_similarity"] = f"{JS} select round(100 * exp(-2 * avg(js)), 4) as js_similarity from j"
+ORACLE["n07_descriptors"] = """with n as (select user_id::varchar as file, event_id // 4 as onset, ceil(value)::bigint % 64 + 1 as duration, (36 + event_id % 48)::int as pitch from events where user_id is not null and value is not null),
+p as (select file, avg((c >= 2)::int) as polyphony_rate from (select file, tick, count(distinct pitch) as c from (select file, pitch, unnest(range(onset, onset + duration)) as tick from n) group by file, tick) group by file),
+h as (select distinct file, onset // 96 as m, onset % 96 as at from n),
+l as (select file, max(m) as last from h group by file),
+x as (select file, count(*) as differ from (select file, m, at from (select file, m, at from h join l using (file) where m < last union all select file, m - 1, at from h where m > 0) group by file, m, at having count(*) = 1) group by file),
+g as (select file, case when last > 0 then 1 - coalesce(differ, 0) / (last * 96) end as groove_consistency from l left join x using (file)),
+k as (select root, steps from (select unnest(range(12)) as root), (values ([0, 2, 4, 5, 7, 9, 11]), ([0, 2, 3, 5, 7, 8, 10])) s(steps)),
+c as (select file, max(share) as scale_consistency from (select file, root, steps, avg(list_contains(steps, (pitch - root + 120) % 12)::int) as share from n, k group by file, root, steps) group by file)
+select file, round(polyphony_rate, 6) as polyphony_rate, round(groove_consistency, 6) as groove_consistency, round(scale_consistency, 6) as scale_consistency from p join g using (file) join c using (file)"""
 MC = "('composer_recognition', 'emotion_recognition', 'genre_recognition', 'metadata_prediction', 'metadata_qa', 'music_captioning', 'next_bar_prediction')"
 PER_TASK = f"""(select model_id, task, count(*) as n, avg(({EQUAL})::int) as accuracy, null::double as score, null::double as macro_f1, {CHOICES} as n_parsed from {ANSWERS} where task in {MC} group by all
 union all select model_id, 'bar_count', count(*), avg((coalesce(parsed_answer, 'None') = coalesce(gold, 'None'))::int), null, null, {DIGITS} from {ANSWERS} where task = 'bar_count' group by all
@@ -247,7 +256,8 @@ select s.*, case when i < round_even(0.8 * n, 0) then 'train' when i < round_eve
 ORACLE["r08_split_by_work"] = f"select pos, work, split from {WORK_RANK}"
 ORACLE["a10_split_stats"] = f"select split, count(*) as files, count(distinct work) as works, count(distinct nullif(composer, '')) as composers from {WORK_RANK} group by split"
 ORACLE["a11_first_seen"] = "select composer as value, min(pos) as first from scores where composer is not null and composer <> '' group by composer"
-ORACLE["a12_group_lists"] = f"select category, array_to_string(list(rec_no::varchar order by rec_no), {SEP}) as v from bench where category is not null group by category"
+ORACLE["a12_group_lists"] = f"""select category, chunk, array_to_string(list(rec_no::varchar order by rec_no), {SEP}) as v
+from (select coalesce(category, 'None') as category, rec_no, (row_number() over (partition by coalesce(category, 'None') order by rec_no) - 1) // 1000 as chunk from bench) group by category, chunk"""
 ORACLE["a13_per_task"] = "select task, count(*) as n from bench group by task"
 ORACLE["a14_per_quadrant"] = "select label, count(distinct clip_id) as clips from emotion_clips group by label"
 ORACLE["a15_top_counts"] = "select style, count(*) as n from scores where style is not null group by style order by n desc, style limit 5"
@@ -297,7 +307,7 @@ ORACLE["r12_rotated_field"] = f"select pos, f.field, f.value from (select pos, {
 ORACLE["r13_bar_slices"] = f"select pos, {arr('b[1:4]')} as first, {arr('b[6:]')} as later from (select pos, {bars('text')} as b from scores)"
 ORACLE["r14_sorted_files"] = "select distinct source_file from bench order by source_file"
 ORACLE["r15_limit"] = "select distinct clip_id, ly_path from emotion_clips order by clip_id, ly_path limit 50"
-ORACLE["u00_union_of_tasks"] = "select distinct task, id from bench where task like 'metadata%' or task = 'bar_count'"
+ORACLE["u00_union_of_tasks"] = f"select distinct b.task, id from bench b join {TASKS} on b.task = t.task"
 
 # --- errors -------------------------------------------------------------------------------------
 
@@ -397,8 +407,9 @@ from (select *, row_number() over (partition by label order by md5({key("'emotio
 
 
 ORACLE["s01_jsonl"] = f"select rec_no, id, input_content, gold, {arr('options')} as options, gold_index from bench"
+ORACLE["s15_samples"] = "select lpad(item_id::varchar, greatest(length(item_id::varchar), 4), '0') as stem, coalesce(text, '') as text from heldout_items"
 ORACLE["s10_reference_documents"] = f"select doc_id, {strip('text')} as text from documents where length({strip('text')}) >= 40"
-ORACLE["s16_predictions"] = f"select model_id as model, id, parsed_answer from {ANSWERS} where task = 'bar_count' and model_id is not null"
+ORACLE["s16_predictions"] = f"select model_id as model, task, id, parsed_answer from {ANSWERS} where model_id is not null"
 ORACLE["s19_clip_manifest"] = """with c as (select clip_id, min(label) as label, min(ly_path) as ly_path, min(n_bars_full) as n_bars_full, min(n_bars_truncated) as n_bars_truncated from emotion_clips group by clip_id)
 select clip_id, case when len(string_split(clip_id, '_')) >= 3 then array_to_string(string_split(clip_id, '_')[2:len(string_split(clip_id, '_'))-1], '_') else clip_id end as song_id, label, ly_path, n_bars_full, n_bars_truncated from c where label is not null"""
 _tasks()

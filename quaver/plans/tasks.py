@@ -19,6 +19,7 @@ from quaver.operators import scores as S
 from quaver.operators.errors import CATEGORIES, applicable, inject
 from quaver.operators.joins import other_values
 from quaver.operators.selection import fill_categories, rotated_field
+from quaver.sources.scratch import written
 
 RECORD = """task string, id string, source_file string, input_content string, task_instruction string, prompt string,
 template_kind string, gold string, options array<string>, gold_index int, structured_output_template string,
@@ -271,6 +272,7 @@ class ErrorDetection(Task):
         four = scores.where(T.count_bars(F.col("text")) >= 4)
         # no more rows than this can be tried
         pool = sample(four, 8 * per * len(CATEGORIES), key(seed, self.name, F.col("source_id"), F.col("pos")), "source_id", "pos").withColumn("rn", F.col("i") + 1).drop("i")
+        pool = written(pool, "pool")
         flagged = pool.withColumns({f"ok_{c}": applicable(F.col("text"), c) for c in CATEGORIES})
         filled = fill_categories(flagged, n)
         k = key(seed, self.name, F.col("source_id"))
@@ -294,9 +296,11 @@ def build_all(scores: DataFrame, names: str = "all", corpus_kind: str | None = N
 def score_all(aligned: DataFrame, *by: str) -> DataFrame:
     """``(by..., task, n, accuracy, score, macro_f1, n_parsed, missing)`` for every registered task.
 
-    All multiple-choice tasks are scored in one pass; tasks without predictions are marked missing.
+    All multiple-choice tasks are scored in one pass, over answers joined once; tasks without predictions are marked missing.
     """
     choice = [t.name for t in iter_tasks() if isinstance(t, Choice)]
+    # every kind of task reads the answers, so they are joined to their records once
+    aligned = written(aligned.drop("input_content", "prompt", "task_instruction", "source_file"), "aligned")
     mc = Choice.score(get_task("composer_recognition"), aligned.where(F.col("task").isin(choice)), *by, "task")
     parts = [mc]
     for t in iter_tasks():

@@ -23,6 +23,20 @@ WORK = "composer string, period string, musical_form string, ensemble string, mi
 MANIFEST = "composer string, style string, convert_ly_path string, localPath string, path string, lyFile string"
 
 
+def there(spark: SparkSession, pattern: str) -> bool:
+    """Whether any file or folder matches, on whatever file system the path is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small text file, on whatever file system the path is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 # --- JSON ---------------------------------------------------------------------------------------
 
 
@@ -41,9 +55,7 @@ def write_document(df: DataFrame, path: str) -> None:
     rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).limit(2).collect()
     if len(rows) != 1:
         raise ValueError("a document needs exactly one row")
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(json.dumps(json.loads(rows[0]["j"]), indent=2, ensure_ascii=False), encoding="utf-8")
+    write_text(df.sparkSession, path, json.dumps(json.loads(rows[0]["j"]), indent=2, ensure_ascii=False))
 
 
 def read_map(spark: SparkSession, path: str, fields: str) -> DataFrame:
@@ -210,6 +222,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
 
 
+def write_manifest(spark: SparkSession, source: str, done: DataFrame, path: str) -> None:
+    """The JSON manifest ``source``, object or array as it is, with ``convert_ly_path`` from ``done(key, out_path)`` in every entry, null where there is none."""
+    whole = json.loads(spark.read.text(source, wholetext=True).first()[0])
+    made = {r["key"]: r["out_path"] for r in done.select("key", "out_path").collect()}  # a row an entry of the one file
+    add = lambda key, entry: {**entry, "convert_ly_path": made.get(str(key))} if isinstance(entry, dict) else entry
+    kept = {k: add(k, e) for k, e in whole.items()} if isinstance(whole, dict) else [add(k, e) for k, e in enumerate(whole)]
+    write_text(spark, path, json.dumps(kept, indent=2, ensure_ascii=False))
+
+
 def converted_manifest(manifest: DataFrame, done: DataFrame) -> DataFrame:
     """Manifest entries with ``convert_ly_path`` of their conversion, null where it failed."""
     return manifest.join(done.where("ok").select("key", F.col("out_path").alias("convert_ly_path")), "key", "left")
@@ -225,7 +246,11 @@ def write_samples(samples: DataFrame, path: str) -> None:
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, stem, text)`` of the score files of one folder, not below it."""
+    """``(path, stem, text)`` of samples: those of :func:`write_samples`, as they were made final, or else the score files of one folder, not below it."""
+    if there(spark, f"{path}/final/sample=*"):
+        # one file a sample; the folder names it, and the writer's last line end is no part of it
+        raw = spark.read.schema("value string, sample string").text(f"{path}/final", wholetext=True)
+        return raw.select(F.concat(F.lit(f"{path}/final/"), "sample").alias("path"), F.col("sample").alias("stem"), F.regexp_replace("value", r"\n\z", "").alias("text"))
     return read_texts(spark, path)
 
 
@@ -241,7 +266,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 def cached_reference(spark: SparkSession, cache: str | None, build, metrics: list[str]) -> DataFrame | None:
     """Descriptor aggregate from the cache if it is there, else built from ``build()`` (null: nothing to build from) and kept."""
-    if cache and Path(cache).exists():
+    if cache and there(spark, cache):
         return spark.read.parquet(cache)
     rows = build() if build else None
     if rows is None or not rows.limit(1).count():

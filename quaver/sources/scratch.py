@@ -1,14 +1,23 @@
-"""A folder for intermediate files: that of ``spark.checkpoint.dir``, or a temporary one if it is unset."""
+"""A folder for intermediate files: that of ``spark.checkpoint.dir``; on a single machine a temporary one if it is unset."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     base = named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="quaver-")
     return f"{base}/quaver/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder and read back, so that what reads it several times computes it once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,9 +15,9 @@ from quaver.operators import descriptors, external
 from quaver.operators import scores as S
 from quaver.operators import selection as R
 from quaver.operators.errors import CATEGORIES
-from quaver.operators.joins import align
+from quaver.operators.joins import align, other_values
 from quaver.plans import catalog, chat, tasks
-from quaver.sources import files
+from quaver.sources import files, midi
 from quaver.streaming import scoring
 
 
@@ -300,3 +300,78 @@ def test_one_task_of_predictions_is_read_from_its_folder(spark, tmp_path):
     files.write_predictions(spark.createDataFrame([("m", t, "i", "r", "p", 1) for t in ("a", "b")], "model string, task string, id string, raw_output string, parsed_answer string, latency_ms long"), str(tmp_path / "p"))
     one = files.read_predictions(spark, str(tmp_path / "p")).where("task = 'a'")
     assert one.count() == 1 and "PartitionFilters: [isnotnull(task" in one._jdf.queryExecution().toString()
+
+
+def _midi(notes, resolution=4, running=True):
+    """A MIDI file of ``(onset, duration, pitch)``, with a tempo, a controller and, if ``running``, statuses left out."""
+    def number(v):
+        out = [v & 127]
+        while v := v >> 7:
+            out.insert(0, v & 127 | 128)
+        return bytes(out)
+
+    events = sorted([(o, 1, p) for o, _, p in notes] + [(o + d, 0, p) for o, d, p in notes])
+    track, now, last = b"\x00\xff\x51\x03\x07\xa1\x20\x00\xb0\x07\x64\x00\xf0\x02\x01\xf7", 0, None
+    for at, on, pitch in events:
+        track += number(at - now) + (b"" if running and last == 0x90 else b"\x90") + bytes([pitch, 64 if on else 0])
+        now, last = at, 0x90
+    track += b"\x00\xff\x2f\x00"
+    return b"MThd\x00\x00\x00\x06\x00\x01\x00\x02" + resolution.to_bytes(2, "big") + b"MTrk\x00\x00\x00\x04\x00\xff\x2f\x00" + b"MTrk" + len(track).to_bytes(4, "big") + track
+
+
+def test_midi_notes(spark):
+    notes = [(0, 4, 60), (4, 4, 62), (4, 300, 65), (8, 2, 60)]
+    rows = [("a", bytearray(_midi(notes))), ("b", bytearray(_midi(notes[:1], 96, False))), ("c", bytearray(b"no midi")), ("d", None), ("e", bytearray(_midi(notes)[:60])), ("f", bytearray(_midi([])))]
+    got = midi.notes(spark.createDataFrame(rows, "path string, content binary")).collect()
+    of = lambda f: sorted((r["onset"], r["duration"], r["pitch"]) for r in got if r["file"] == f)
+    assert of("a") == notes and of("b") == notes[:1] and {r["file"] for r in got} <= {"a", "b", "e"}
+    assert {(r["file"], r["resolution"], r["velocity"], r["channel"], r["track"]) for r in got if r["file"] != "e"} == {("a", 4, 64, 0, 1), ("b", 96, 64, 0, 1)}
+    d = {r["file"]: r for r in cli.midi_descriptors(spark.createDataFrame(rows[:2] + rows[5:], "path string, content binary"), "content").collect()}
+    assert d["a"]["polyphony_rate"] == pytest.approx(6 / 304) and d["a"]["scale_consistency"] == 1 and d["f"]["scale_consistency"] is None
+    # onsets at 0 of each of the first three quarters, and none after
+    assert d["a"]["groove_consistency"] == pytest.approx(1.0) and d["b"]["groove_consistency"] is None
+
+
+def test_generation_end_to_end(spark, tmp_path):
+    import sys
+    from pathlib import Path
+
+    sys.path.insert(0, str(Path(__file__).parent))
+    spark.sparkContext.addPyFile(__file__)
+    bank = [(f"prompt_{i:04d}", None, None, f"Write {'x' * i}") for i in range(4)]
+    files.write_jsonl(spark.createDataFrame(bank, "id string, source_id string, metadata string, user_prompt string"), str(tmp_path / "bank"))
+    assert cli.main(["generation", "run", "--model", "phi4", "--prompts", str(tmp_path / "bank"), "--loader", "test_plans:echo", "--out", str(tmp_path / "gen")], spark) == 0
+    made = {r["stem"]: r["text"] for r in files.read_samples(spark, str(tmp_path / "gen")).collect()}
+    assert sorted(made) == ["0000", "0001", "0002", "0003"] and all("The answer is" in t and not t.endswith("\n\n") for t in made.values())
+    (tmp_path / "ref").mkdir()
+    for k in range(3):
+        (tmp_path / "ref" / f"{k}.MID").write_bytes(_midi([(i * 2, 3, 60 + (i * k) % 7) for i in range(12)]))
+        (tmp_path / f"out{k}.midi").write_bytes(_midi([(i * 2, 3 + i % 2, 60 + (i * (k + 1)) % 8) for i in range(12)]))
+    fake = _program(tmp_path / "ly", f'n=$(($(wc -c < "$4") % 3)); if grep -q "answer is 3" "$4"; then echo "broken" >&2; exit 1; fi; cp {tmp_path}/out$n.midi "$3.midi"')
+    args = ["metrics", "generation", "--samples", str(tmp_path / "gen"), "--lilypond", fake, "--out", str(tmp_path / "g.json"), "--reference-test-midi", str(tmp_path / "ref"), "--reference-second-midi", str(tmp_path / "ref"), "--reference-cache", str(tmp_path / "cache")]
+    assert cli.main(args, spark) == 0 and cli.main(args, spark) == 0
+    out = json.loads((tmp_path / "g.json").read_text())
+    failed = sum("answer is 3" in t for t in made.values())
+    assert out["n_samples"] == 4 and out["n_ok"] == 4 - failed and out["errors"] == ({"broken": failed} if failed else {})
+    assert set(out["js_similarity"]) == {"test", "second"} and out["js_similarity"]["test"] == out["js_similarity"]["second"]
+    assert out["descriptors"]["scale_consistency"]["n"] == out["n_ok"] and spark.read.parquet(f"{out['files']}/compiled").count() == 4
+
+
+def test_upgrade_keeps_the_manifest_s_shape(spark, tmp_path, capsys):
+    for k in range(3):
+        (tmp_path / f"s{k}.ly").write_text(f"score {k}")
+    tool = _program(tmp_path / "conv", 'if grep -q "score 1" "$2"; then exit 0; fi; echo "$1"; cat "$2"')
+    for name, whole in (("o.json", {"a": {"path": "s0.ly", "x": 1}, "b": {"path": "s1.ly"}, "c": 5}), ("l.json", [{"lyFile": "s2.ly"}, {"path": "none.ly"}])):
+        (tmp_path / name).write_text(json.dumps(whole))
+        assert cli.main(["corpus", "upgrade", "--source", str(tmp_path / name), "--out-dir", str(tmp_path / f"up_{name}"), "--manifest-out", str(tmp_path / f"new_{name}"), "--convert-ly", tool, "--to", "9.9"], spark) == 0
+    got = json.loads((tmp_path / "new_o.json").read_text())
+    assert got["c"] == 5 and got["a"]["x"] == 1 and got["b"]["convert_ly_path"] is None
+    assert spark.read.text(got["a"]["convert_ly_path"], wholetext=True).first()[0].strip() == "--to=9.9\nscore 0"
+    assert [e["convert_ly_path"] is None for e in json.loads((tmp_path / "new_l.json").read_text())] == [False, True]
+    assert "empty output" in capsys.readouterr().err
+
+
+def test_large_pool_stands_beside_few_rows(spark):
+    pool = spark.range(300_000).select(F.concat(F.lit("title "), "id").alias("value"))
+    few = spark.createDataFrame([("title 5",), ("other",)], "gold string")
+    assert [r["n"] for r in other_values(few, pool, "gold").select("gold", F.size("pool").alias("n")).orderBy("gold").collect()] == [300_000, 299_999]

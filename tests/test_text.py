@@ -63,6 +63,7 @@ def test_mask_keeps_every_position(spark):
         (T.song_id, {"Q1_a_b_0": "a_b", "Q1_a": "Q1_a", "x": "x"}),
         (T.digit_sequence, {"answer is 0312": "0312", "the order is 2 0 3 1": "2031", "none": ""}),
         (lambda c: F.transform(T.bar_list(c), lambda x: x.cast("int")), {"3, 7, 12": [3, 7, 12], "bars 3 and 7, 3": [3, 7], "": [], "none": []}),
+        (T.bar_list, {"007, 7 and " + "9" * 40: ["7", "9" * 40], "000": ["0"]}),
         (T.strip_fence, {"```ly\nx\n```": "x", "a\n```\n b \n```\nc": "b", "a\n```ly\nopen": "a\nopen", "  plain ": "  plain "}),
         (lambda c: T.ensure_headers(c), {"x \n": '\\version "2.24.4"\n\\language "nederlands"\nx\n', '\\version "1" \\language "x"': '\\version "1" \\language "x"\n'}),
         (lambda c: T.cut_at(c, "<end>"), {"a<end>b<end>": "a", "a": "a"}),
