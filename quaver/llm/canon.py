@@ -2,11 +2,13 @@
 
 Entries (terms and their aliases) are held in BK-trees under Levenshtein distance, a true metric:
 the triangle inequality then rules out whole subtrees, and every entry within the allowed distance
-is returned.  Searches run level by level for a whole batch of values at once, each level's
-distances in one array computation.
+is returned.  A search starts near the value and is widened only for values that found nothing, as
+a wide one rules out little.  It runs level by level for a batch of values at once, each level's
+distances in one array computation of at most ``FRONTIER`` pairs of value and entry; what is beyond waits.
 
 Reference lists of up to ``SHARD_ENTRIES`` entries are broadcast as one tree a field; longer ones
-are dealt to shards, every value visits each shard, and the shards' winners are merged.
+are dealt to shards, every value visits each shard, and the shards' winners are merged.  Values are
+spread over tasks by the pairs they may make.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ from quaver.llm.fold import folded_py
 from quaver.llm.scratch import cut
 
 SHARD_ENTRIES = 20_000
+FRONTIER = 50_000
+#: Pairs of value and entry a task may have to look at.
+TASK_PAIRS = 500_000
 
 #: Words typed beside a value that say nothing about it.
 _BRACKET = re.compile(r"\([^)]*\)?")
@@ -112,25 +117,44 @@ class BKTree:
 
     def within(self, values: list[str], radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(value number, entry number, distance)`` of every entry within each value's radius."""
-        codes, length = _codes(values)
-        q, node = np.arange(len(values)), np.zeros(len(values), np.int64)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if not self.words:
-            q = q[:0]
-        while len(q):
-            d = distances(codes[q], length[q], self.codes[node], self.length[node])
+        codes, length = _codes(values)
+        waiting = [(np.arange(len(values)), np.zeros(len(values), np.int64))] if self.words else []
+        while waiting:
+            q, node = waiting.pop()
+            if len(q) > FRONTIER:
+                waiting += [(q[a : a + FRONTIER], node[a : a + FRONTIER]) for a in range(0, len(q), FRONTIER)]
+                continue
+            wide = max(int(length[q].max(initial=1)), 1)
+            d = distances(codes[q, :wide], length[q], self.codes[node], self.length[node])
             near = d <= radius[q]
             found.append((q[near], node[near], d[near]))
             count = self.start[node + 1] - self.start[node]
             pick = np.repeat(np.arange(len(q)), count)
             edge = np.arange(len(pick)) - np.repeat(np.cumsum(count) - count, count) + self.start[node][pick]
             may = np.abs(self.dists[edge] - d[pick]) <= radius[q[pick]]
-            q, node = q[pick[may]], self.kids[edge[may]]
+            if may.any():
+                waiting.append((q[pick[may]], self.kids[edge[may]]))
         if not found:
             none = np.zeros(0, np.int64)
             return none, none, none
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
+    def nearest(self, values: list[str], radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As :meth:`within`, but of every value only the entries at the least distance, if that is within its radius."""
+        left, out = np.arange(len(values)), []
+        for step in (0, 1, 3, 1 << 20):
+            if not len(left):
+                break
+            near = np.minimum(radius[left], step)
+            q, node, d = self.within([values[i] for i in left], near)
+            least = np.full(len(left), 1 << 20)
+            np.minimum.at(least, q, d)
+            keep = d == least[q]
+            out.append((left[q[keep]], node[keep], d[keep]))
+            left = left[(least == 1 << 20) & (radius[left] > step)]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
 
 def _swaps(a: str, b: str) -> int:
     """Distance with exchanges of neighbours as one edit; decides between entries equally near."""
@@ -168,7 +192,7 @@ class Matcher:
         tree, ids = self.trees.get(field, (BKTree([]), np.zeros(0, np.int64)))
         turned = [(i, t) for i, v in enumerate(values) for t in _turns(plain(v)) if t]
         radius = np.array([reach(len(t)) for _, t in turned], np.int32)
-        q, node, d = tree.within([t for _, t in turned], radius)
+        q, node, d = tree.nearest([t for _, t in turned], radius)
         rows: dict[int, tuple] = {}
         own = np.array([i for i, _ in turned], np.int64)[q]
         least = np.full(len(values), 1 << 20)
@@ -198,7 +222,9 @@ def canonical(values: DataFrame, terms: DataFrame) -> DataFrame:
     entries = _entries(terms)
     n = entries.count()
     shards = max(1, -(-n // SHARD_ENTRIES))
-    distinct = values.where("field_name is not null and value is not null").select("field_name", "value").distinct()
+    distinct = cut(values.where("field_name is not null and value is not null").select("field_name", "value").distinct(), "distinct")
+    # a task gets values for a bounded number of pairs
+    parts = max(1, -(-distinct.count() * min(n, SHARD_ENTRIES) // TASK_PAIRS))
     if shards == 1:
         lists = [entries.toPandas()]  # at most SHARD_ENTRIES rows
         asked = distinct.withColumn("shard", F.lit(0))
@@ -221,15 +247,14 @@ def canonical(values: DataFrame, terms: DataFrame) -> DataFrame:
             for pdf in batches:
                 yield answer(pdf, matcher)
 
-        found = asked.drop("shard").mapInPandas(run, schema)
+        found = asked.drop("shard").repartition(parts, "value").mapInPandas(run, schema)
     else:
         sharded = entries.withColumn("shard", F.pmod(F.xxhash64("field_name", "entry"), F.lit(shards)).cast("int"))
 
         def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             return answer(left, Matcher(right))
 
-        # a value part of bounded size meets one shard of the entries
-        parts = max(1, -(-distinct.count() // 200_000))
+        # a part of the values meets one shard of the entries
         part = F.pmod(F.xxhash64("value"), F.lit(parts)).cast("int")
         spread = sharded.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         found = asked.withColumn("part", part).groupBy("shard", "part").cogroup(spread.groupBy("shard", "part")).applyInPandas(one, schema)

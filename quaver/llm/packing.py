@@ -30,6 +30,7 @@ SHARD_ITEMS = 20_000
 _MEMORY = 400_000
 #: A word with the blank before it, or white space up to it: no token crosses their ends.
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+_WHOLE = re.compile(r"(?s).+")
 #: Characters on which this and the tokenizer's own pattern may differ about being white space.
 _UNSURE = re.compile("[\x1c-\x1f\x85​‌‍᠎]")
 
@@ -62,10 +63,14 @@ class Counter(dict):
         return sum(map(self.__getitem__, _CHUNK.findall(text)))
 
     def pieces(self, text: str, capacity: int) -> list[tuple[int, int, int]]:
-        """``(start, end, tokens)`` of consecutive pieces of at most ``capacity`` tokens each; cut at words unless a single word is too long."""
+        """``(start, end, tokens)`` of consecutive pieces of at most ``capacity`` tokens each.
+
+        They are cut at words, but inside a word that is too long, and anywhere in a text in which
+        it is unsure where the tokenizer ends a word.  A capacity below the tokens of one character raises.
+        """
         out: list[tuple[int, int, int]] = []
         start = at = size = 0
-        for m in _CHUNK.finditer(text):
+        for m in (_WHOLE if _UNSURE.search(text) else _CHUNK).finditer(text):
             n = self[m.group()]
             if size + n > capacity and size:
                 out.append((start, at, size))
@@ -75,10 +80,9 @@ class Counter(dict):
                 while inside < m.end():
                     end = min(m.end(), inside + capacity)
                     while (k := len(self.encode(text[inside:end]))) > capacity:
-                        end = inside + max(1, (end - inside) // 2)
                         if end - inside == 1:
-                            k = len(self.encode(text[inside:end]))
-                            break
+                            raise ValueError(f"a character of {k} tokens is larger than a container of {capacity}")
+                        end = inside + (end - inside) // 2
                     if end < m.end() or k == capacity:
                         out.append((inside, end, k))
                         start, size = end, 0
@@ -153,8 +157,10 @@ def best_two_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
     Each container is filled greedily with the largest item that fits.  If room is left, its
     smallest item is taken out and replaced by the two items in stock that fill the widened gap most
-    tightly, provided they leave less room.
+    tightly, provided they leave less room.  An item larger than a container raises.
     """
+    if len(sizes) and int(sizes.max()) > capacity:
+        raise ValueError(f"an item of {int(sizes.max())} is larger than a container of {capacity}")
     at = np.empty(len(sizes), np.int64)
     stock = _Stock(sizes, capacity)
     bin_no = 0

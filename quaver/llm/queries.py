@@ -26,9 +26,9 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    """Rows, groups and share of each split beside its target."""
-    plan = _t(spark, d, "split_plan")
-    return splits.split_report(splits.assign_splits(_t(spark, d, "scores"), plan), plan)
+    """Rows, groups and share of each split beside its target, and how far its labels are from those of all."""
+    scores, plan = _t(spark, d, "scores"), _t(spark, d, "split_plan")
+    return splits.split_report(splits.assign_splits(scores, plan), plan, splits.labels_of(scores))
 
 
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Lineage cuts that survive the loss of an executor.
 
 A cut is a Parquet table in the shared folder named by ``spark.checkpoint.dir``.  Where the session
-leaves that setting empty (tests, notebooks) a temporary folder of this machine is used.
+leaves that setting empty (tests, notebooks) a temporary folder is used on a single machine; on a
+cluster that raises, as no two machines would see the same tables.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="quaver-")

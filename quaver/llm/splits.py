@@ -154,17 +154,25 @@ def _anneal(counts: np.ndarray, target: np.ndarray, start: np.ndarray, rng: np.r
     return best, best_at
 
 
+def _hashed(ids: np.ndarray, seed: int) -> np.ndarray:
+    """A number in [0, 1) of each id and the seed."""
+    h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((2 * seed + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
+    for shift in (32, 29):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(11)).astype(float) / (1 << 53)
+
+
 def assign_splits(scores: DataFrame, plan: DataFrame, seed: int = 0, label: Column | None = None) -> DataFrame:
     """``(pos, group_pos, split)``: every score's component and split.
 
-    ``plan(split, share)`` is a small table of a row per split (at most 64 are taken as sane; more
-    raise).  Shares are scaled to sum to 1.  ``label`` is the column whose distribution should be
+    ``plan(split, share)`` is a small table of a row per split; one without a positive share raises.
+    Shares are scaled to sum to 1.  ``label`` is the column whose distribution should be
     alike in all splits (default: the emotion quadrant); its ``MAX_LABELS`` most frequent values are
     balanced one by one, all others together.
     """
-    shares = [(r["split"], float(r["share"] or 0)) for r in plan.where("split is not null").orderBy(F.desc("share"), "split").limit(65).collect()]
-    if not 0 < len(shares) <= 64 or sum(x for _, x in shares) <= 0:
-        raise ValueError("split_plan needs 1 to 64 splits with positive shares")
+    shares = [(r["split"], float(r["share"] or 0)) for r in plan.where("split is not null").orderBy(F.desc("share"), "split").collect()]
+    if sum(x for _, x in shares) <= 0:
+        raise ValueError("split_plan needs splits with positive shares")
     names = [s for s, _ in shares]
     share = np.array([x for _, x in shares]) / sum(x for _, x in shares)
     label = quadrant(F.try_element_at("extras", F.lit("label"))) if label is None else label
@@ -183,7 +191,7 @@ def assign_splits(scores: DataFrame, plan: DataFrame, seed: int = 0, label: Colu
     target = np.outer(share, total)
     bar = max(2.0, total[0] / HEAD_PART)
     head = sized.where(F.col("n") >= bar).orderBy(F.desc("n"), "group_pos").toPandas()  # at most HEAD_PART rows, as each has 1/HEAD_PART of the total
-    big = head[cols].to_numpy(float)
+    big, big_ids = head[cols].to_numpy(float), head["group_pos"].to_numpy(np.int64)
     rest = total - big.sum(axis=0) if len(big) else total
     k = len(names)
 
@@ -191,9 +199,9 @@ def assign_splits(scores: DataFrame, plan: DataFrame, seed: int = 0, label: Colu
         for ids in batches:
             for chain in ids["id"]:
                 rng = np.random.default_rng([seed, int(chain)])
-                start = np.searchsorted(np.cumsum(share)[:-1], rng.random(len(big)), side="right")
+                start = np.searchsorted(np.cumsum(share)[:-1], _hashed(big_ids, seed + int(chain)), side="right")
                 # the tail fills what the head leaves, so it counts as already dealt by share
-                cost, at = _anneal(big, target - np.outer(share, rest), start, rng, steps=min(60_000, 40 * len(big) + 2000))
+                cost, at = _anneal(big, target - np.outer(share, rest), start, rng, steps=40 * len(big) + 2000)
                 yield pd.DataFrame({"cost": [cost], "chain": [int(chain)], "at": [at.tolist()]})
 
     at = np.zeros(0, int)
@@ -213,8 +221,8 @@ def assign_splits(scores: DataFrame, plan: DataFrame, seed: int = 0, label: Colu
         goal = part * c.sum(axis=0)
         rng = np.random.default_rng([seed, 1, int(pdf["shard"].iloc[0])])
         w = part[:, 0] / max(part[:, 0].sum(), 1e-9) if part[:, 0].sum() > 0 else share
-        start = np.searchsorted(np.cumsum(w)[:-1], rng.random(len(c)), side="right")
-        _, got = _anneal(c, goal, start, rng, steps=min(40_000, 6 * len(c) + 2000))
+        start = np.searchsorted(np.cumsum(w)[:-1], _hashed(pdf["group_pos"].to_numpy(np.int64), seed), side="right")
+        _, got = _anneal(c, goal, start, rng, steps=6 * len(c) + 2000)
         return pd.DataFrame({"group_pos": pdf["group_pos"].to_numpy(), "at": got.astype("int32")})
 
     tail = (
@@ -230,11 +238,24 @@ def assign_splits(scores: DataFrame, plan: DataFrame, seed: int = 0, label: Colu
     return groups.join(dealt, "group_pos").select("pos", "group_pos", "split")
 
 
-def split_report(assigned: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per split: rows, components, share got and share asked for."""
+def labels_of(scores: DataFrame) -> DataFrame:
+    """``(pos, label)``: the emotion quadrant of every score, ``(none)`` without one."""
+    label = quadrant(F.try_element_at("extras", F.lit("label")))
+    return scores.where("pos is not null").groupBy("pos").agg(F.min(F.coalesce(label, F.lit("(none)"))).alias("label"))
+
+
+def split_report(assigned: DataFrame, plan: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Per split: rows, components, share got and share asked for, and by how much the share of any label differs at most from its share of all rows (``labels(pos, label)``; null without)."""
     got = assigned.groupBy("split").agg(F.count("*").alias("n_rows"), F.countDistinct("group_pos").alias("n_groups"))
     rows = F.coalesce("n_rows", F.lit(0))
-    return plan.select("split", F.col("share").alias("target_share")).join(got, "split", "left").select(
+    if labels is None:
+        off = plan.select("split", F.lit(None).cast("double").alias("label_deviation"))
+    else:
+        each = assigned.join(labels, "pos").groupBy("split", "label").agg(F.count("*").alias("k"))  # a row a split and label
+        of_split, of_label = each.groupBy("split").agg(F.sum("k").alias("n")), each.groupBy("label").agg((F.sum("k") / F.sum(F.sum("k")).over(Window.partitionBy())).alias("share"))
+        grid = of_split.crossJoin(F.broadcast(of_label)).join(each, ["split", "label"], "left")
+        off = grid.groupBy("split").agg(F.max(F.abs(F.coalesce("k", F.lit(0)) / F.col("n") - F.col("share"))).alias("label_deviation"))
+    return plan.select("split", F.col("share").alias("target_share")).join(got, "split", "left").join(off, "split", "left").select(
         "split", "target_share", rows.alias("n_rows"), F.coalesce("n_groups", F.lit(0)).alias("n_groups"),
-        F.coalesce(F.try_divide(rows, F.sum(rows).over(Window.partitionBy())), F.lit(0.0)).alias("got_share"),
+        F.coalesce(F.try_divide(rows, F.sum(rows).over(Window.partitionBy())), F.lit(0.0)).alias("got_share"), "label_deviation",
     )

@@ -128,8 +128,21 @@ def test_splits_keep_groups_and_meet_shares(spark, sf):
     share = got["split"].value_counts(normalize=True)
     largest = got["group_pos"].value_counts(normalize=True).iloc[0]
     assert abs(share["train"] - 0.8) < max(0.02, largest - 0.8) and abs(share["test"] - 0.1) < 0.05
-    report = splits.split_report(spark.createDataFrame(got), plan).collect()
+    labels = splits.labels_of(scores)
+    report = splits.split_report(spark.createDataFrame(got), plan, labels).collect()
     assert sum(r["n_rows"] for r in report) == len(got)
+    both = got.merge(labels.toPandas(), on="pos")
+    of_all = both["label"].value_counts(normalize=True)
+    for r in report:
+        own = both[both["split"] == r["split"]]["label"].value_counts(normalize=True)
+        assert r["label_deviation"] == pytest.approx(own.reindex(of_all.index, fill_value=0).sub(of_all).abs().max())
+    assert splits.split_report(spark.createDataFrame(got), plan).where("label_deviation is not null").count() == 0
+
+
+def test_splits_of_a_long_plan(spark):
+    plan = spark.createDataFrame([(f"part{k:03d}", 1.0) for k in range(80)], "split string, share double")
+    got = splits.assign_splits(scores_of(spark, [(i, f"s{i}", "t", None, None, None) for i in range(800)]), plan).toPandas()
+    assert got["split"].nunique() == 80 and got["split"].value_counts().max() <= 12
 
 
 def test_splits_edges(spark):

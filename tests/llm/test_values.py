@@ -45,6 +45,21 @@ def test_distances_and_tree():
     got = {(int(q), words[n], int(d)) for q, n, d in zip(*tree.within(b, radius), strict=True)}
     assert got == {(i, w, lev(x, w)) for i, x in enumerate(b) for w in words if lev(x, w) <= radius[i]}
     assert len(canon.BKTree([]).within(["a"], np.array([1]))[0]) == 0
+    near = {(int(q), words[n], int(d)) for q, n, d in zip(*tree.nearest(b, radius), strict=True)}
+    least = [min(lev(x, w) for w in words) for x in b]
+    assert near == {(i, w, least[i]) for i, x in enumerate(b) for w in words if lev(x, w) == least[i] <= radius[i]}
+
+
+def test_frontier_is_bounded(monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(6, 24)))
+    tree = canon.BKTree(sorted({word() for _ in range(20_000)}))
+    seen = []
+    real = canon.distances
+    monkeypatch.setattr(canon, "distances", lambda a, na, b, nb: seen.append(len(na)) or real(a, na, b, nb))
+    values = [word() for _ in range(300)] + [w[:-1] for w in tree.words[:9700]]
+    q, _, d = tree.nearest(values, np.array([canon.reach(len(v)) for v in values]))
+    assert max(seen) <= canon.FRONTIER and set(q[d <= 1].tolist()) >= set(range(300, 10_000))
 
 
 TERMS = [(1, "style", "Baroque", ["Barock"]), (2, "style", "Galant", None), (3, "ensemble", "string orchestra", ["orchestra d'archi"]), (4, "ensemble", "viola", []), (5, "ensemble", "violin", []), (6, "ensemble", "alto voice", []), (7, "musical_form", "étude", ["Übungsstück"])]
@@ -189,7 +204,13 @@ def test_pieces():
         for capacity in (3, 8, 50):
             parts = count.pieces(text, capacity)
             assert "".join(text[a:b] for a, b, _ in parts) == text
-            assert all(len(count.encode(text[a:b])) <= k <= capacity or b - a == 1 for a, b, k in parts)
+            assert all(len(count.encode(text[a:b])) == k <= capacity for a, b, k in parts)
+    rng = random.Random(2)
+    for _ in range(300):  # characters on which word ends are unsure
+        text = "".join(rng.choice(["a", " ", "\n", "'s", "1", ".", "é", "\u200b", "\x1c", "\x85", "  "]) for _ in range(120))
+        assert all(len(count.encode(text[a:b])) == k <= 20 for a, b, k in count.pieces(text, 20))
+    with pytest.raises(ValueError, match="larger than a container"):
+        count.pieces("🎵", 1)
 
 
 def test_best_two_fit():
@@ -199,6 +220,8 @@ def test_best_two_fit():
         at = packing.best_two_fit(sizes, capacity)
         load = np.bincount(at, sizes)
         assert load.max() <= capacity and (load > 0).all() and len(load) <= max(1.03 * np.ceil(sizes.sum() / capacity), np.ceil(sizes.sum() / capacity) + 2)
+    with pytest.raises(ValueError, match="larger than a container"):
+        packing.best_two_fit(np.array([5]), 3)
     # greedily 6 + 3 leaves 1 free; 6 + 2 + 2 is full
     assert np.bincount(packing.best_two_fit(np.array([6, 3, 2, 2]), 10), [6, 3, 2, 2]).tolist() == [10, 3]
 
