@@ -224,7 +224,7 @@ select g.gold, {', '.join(f"count(*) filter (where p = '{c}') as {c}" for c in (
 ORACLE["a07_compile_rate"] = "select model_id, round(avg(contains(raw_output, '```')::int), 6) as compile_rate, count(*) filter (where contains(raw_output, '```')) as n_ok, count(*) as n from predictions group by model_id"
 ROWS = lambda side: f"(select user_id, avg(value) as polyphony_rate, max(value) - min(value) as groove_consistency, count(*)::double as scale_consistency from events{'' if side is None else f' where event_id % 2 = {side}'} group by user_id)"
 STATS = lambda side: " union all ".join(f"select '{m}' as metric, avg({m}) as mean, stddev_samp({m}) as std, count({m}) as n from {ROWS(side)}" for m in ("polyphony_rate", "groove_consistency", "scale_consistency"))
-ORACLE["a08_descriptor_stats"] = f"select metric, round(mean, 6) as mean, round(std, 6) as std, n from ({STATS(0)})"
+ORACLE["a08_descriptor_stats"] = f"select metric, round(mean, 6) as mean, round(std, 6) as std, n from ({STATS(None)})"
 ORACLE["j10_metric_join"] = f"select metric, round(a.mean, 6) as mean_a, round(b.mean, 6) as mean_b from ({STATS(0)}) a join ({STATS(1)}) b using (metric)"
 JS = f"""with s as (select metric, a.mean as mu1, a.std as sd1, b.mean as mu2, b.std as sd2 from ({STATS(0)}) a join ({STATS(1)}) b using (metric)),
 g as (select *, least(mu1 - 5 * sd1, mu2 - 5 * sd2) as lo, greatest(mu1 + 5 * sd1, mu2 + 5 * sd2) as hi from s),
@@ -235,9 +235,9 @@ ORACLE["n03_js_divergence"] = f"{JS} select metric, round(js, 6) as js from j"
 ORACLE["n04_js_similarity"] = f"{JS} select round(100 * exp(-2 * avg(js)), 4) as js_similarity from j"
 ORACLE["n07_descriptors"] = """with n as (select user_id::varchar as file, event_id // 4 as onset, ceil(value)::bigint % 64 + 1 as duration, (36 + event_id % 48)::int as pitch from events where user_id is not null and value is not null),
 p as (select file, avg((c >= 2)::int) as polyphony_rate from (select file, tick, count(distinct pitch) as c from (select file, pitch, unnest(range(onset, onset + duration)) as tick from n) group by file, tick) group by file),
-h as (select distinct file, onset // 96 as m, onset % 96 as at from n),
+h as (select distinct file, onset // 96 as m, onset % 96 as o from n),
 l as (select file, max(m) as last from h group by file),
-x as (select file, count(*) as differ from (select file, m, at from (select file, m, at from h join l using (file) where m < last union all select file, m - 1, at from h where m > 0) group by file, m, at having count(*) = 1) group by file),
+x as (select file, count(*) as differ from (select file, m, o from (select file, m, o from h join l using (file) where m < last union all select file, m - 1, o from h where m > 0) group by file, m, o having count(*) = 1) group by file),
 g as (select file, case when last > 0 then 1 - coalesce(differ, 0) / (last * 96) end as groove_consistency from l left join x using (file)),
 k as (select root, steps from (select unnest(range(12)) as root), (values ([0, 2, 4, 5, 7, 9, 11]), ([0, 2, 3, 5, 7, 8, 10])) s(steps)),
 c as (select file, max(share) as scale_consistency from (select file, root, steps, avg(list_contains(steps, (pitch - root + 120) % 12)::int) as share from n, k group by file, root, steps) group by file)
@@ -407,7 +407,7 @@ from (select *, row_number() over (partition by label order by md5({key("'emotio
 
 
 ORACLE["s01_jsonl"] = f"select rec_no, id, input_content, gold, {arr('options')} as options, gold_index from bench"
-ORACLE["s15_samples"] = "select lpad(item_id::varchar, greatest(length(item_id::varchar), 4), '0') as stem, coalesce(text, '') as text from heldout_items"
+ORACLE["s15_samples"] = "select lpad(item_id::varchar, greatest(length(item_id::varchar), 4)::int, '0') as stem, coalesce(text, '') as text from heldout_items"
 ORACLE["s10_reference_documents"] = f"select doc_id, {strip('text')} as text from documents where length({strip('text')}) >= 40"
 ORACLE["s16_predictions"] = f"select model_id as model, task, id, parsed_answer from {ANSWERS} where model_id is not null"
 ORACLE["s19_clip_manifest"] = """with c as (select clip_id, min(label) as label, min(ly_path) as ly_path, min(n_bars_full) as n_bars_full, min(n_bars_truncated) as n_bars_truncated from emotion_clips group by clip_id)
