@@ -99,7 +99,8 @@ def _build(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def _bench(spark: SparkSession, path: str) -> DataFrame:
     rows = files.read_jsonl(spark, path, tasks.RECORD.replace("\n", " "))
-    return rows.withColumn("rec_no", F.monotonically_increasing_id())
+    # the order of records is that of the files' names and of the lines in them
+    return rows.withColumn("rec_no", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")))
 
 
 def _answer(spark: SparkSession, a: argparse.Namespace) -> int:

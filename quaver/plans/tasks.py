@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaver.functions import text as T
+from quaver.functions.numeric import share_of
 from quaver.functions.sampling import distractors, key, per_group, permutation, sample, shuffled
 from quaver.operators import scores as S
 from quaver.operators.errors import CATEGORIES, applicable, inject
@@ -253,7 +254,7 @@ class EmotionRecognition(Choice):
 
     def build(self, scores: DataFrame, n: int, seed: int) -> DataFrame:
         clips = scores.where(F.col("label").isin(*S.QUADRANTS))
-        per = per_group(clips, "label", max(1, n // 4), key(seed, self.name, F.col("source_id"), F.col("pos")), "source_id", "pos")
+        per = per_group(clips, "label", share_of(n, 4), key(seed, self.name, F.col("source_id"), F.col("pos")), "source_id", "pos")
         numbered = per.withColumn("i", F.expr("row_number() over (order by label, r) - 1")).withColumn("gold", F.col("label"))
         options = shuffled(F.array(*[F.lit(q) for q in S.QUADRANTS]), key(seed, self.name, F.col("source_id"), F.lit("o")))
         return self.records(numbered.withColumn("options", options), F.col("text"), clip_id=F.col("clip_id"), song_id=F.col("song_id"))
@@ -268,7 +269,7 @@ class ErrorDetection(Task):
     name, kind, default_n = "error_detection", T.STRUCTURED, 220
 
     def build(self, scores: DataFrame, n: int, seed: int) -> DataFrame:
-        per = max(1, n // len(CATEGORIES))
+        per = share_of(n, len(CATEGORIES))
         four = scores.where(T.count_bars(F.col("text")) >= 4)
         # no more rows than this can be tried
         pool = sample(four, 8 * per * len(CATEGORIES), key(seed, self.name, F.col("source_id"), F.col("pos")), "source_id", "pos").withColumn("rn", F.col("i") + 1).drop("i")
