@@ -32,8 +32,8 @@ from quaver.llm.scratch import cut
 
 GROUPS = 1 << 16
 FAN = 8
-#: Classes of a shard, about, and of a cell of a frequent token, at most.
-SHARD, CELL = 256, 2048
+#: Classes of a shard, about, and of a cell of a frequent token; and notes of their records.
+SHARD, CELL, SHARD_NOTES = 256, 2048, 4_000_000
 #: Coordinates looked at in one step of a search.
 _STEP = 4_000_000
 
@@ -160,6 +160,8 @@ def links(items: DataFrame) -> DataFrame:
     many rare tokens in common meet once, not once a token; a class goes to no more shards than it
     has tokens to be routed by.
     """
+    usual = items.agg(F.avg("notes")).first()[0] or 1
+    size, cell = (max(1, min(n, int(SHARD_NOTES / usual))) for n in (SHARD, CELL))  # less where records are long
     each = items.select("rep", "need", F.explode("tokens").alias("token"))
     common = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     # sizes within the allowed ratio share one of two neighbouring windows
@@ -169,7 +171,7 @@ def links(items: DataFrame) -> DataFrame:
         .select("rep", F.explode(F.array(F.xxhash64("token", "w"), F.xxhash64("token", F.col("w") + 1))).alias("token")),
         "routes",
     )
-    met = routes.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1").select("token", "least", F.ceil(F.col("n") / CELL).cast("int").alias("cells"))
+    met = routes.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1").select("token", "least", F.ceil(F.col("n") / cell).cast("int").alias("cells"))
     own = F.pmod(F.xxhash64("rep", "token"), F.col("cells")).cast("int")
     # cells of a frequent token are shards of their own
     place = F.when(F.col("cells") == 1, F.xxhash64("least")).otherwise(F.xxhash64("token", "cell"))
@@ -179,7 +181,7 @@ def links(items: DataFrame) -> DataFrame:
         .groupBy("rep").agg(F.collect_set(F.struct(place.alias("place"), (F.col("cells") > 1).alias("alone"), (F.col("cell") == F.col("own")).alias("held"), "least")).alias("visits")),
         "visits",
     )
-    shards = max(1, math.ceil((visits.agg(F.sum(F.size("visits"))).first()[0] or 0) / SHARD))
+    shards = max(1, math.ceil((visits.agg(F.sum(F.size("visits"))).first()[0] or 0) / size))
     shard = F.when(F.col("v.alone"), shards + F.pmod("v.place", F.lit(1 << 40))).otherwise(F.pmod("v.place", F.lit(shards)))
     group = F.transform("tokens", lambda t: F.shiftrightunsigned(t, 48).cast("int"))
     points = items.select("rep", "need", "notes", group.alias("groups"), "bars")
@@ -203,7 +205,7 @@ def near_duplicates(scores: DataFrame) -> DataFrame:
     other is its own group; other columns are not read.
     """
     parsed = cut(packed(with_bars(scores.where("pos is not null").select("pos", "text"), "text")), "bars")
-    classes = cut(with_keys(parsed.groupBy("class").agg(F.min("pos").alias("rep"), F.first("bars").alias("bars"))), "classes")
+    classes = cut(with_keys(parsed.groupBy("class").agg(F.min("pos").alias("rep"), F.min("bars").alias("bars"))), "classes")
     dense = cut(dense_keys(classes), "dense")
     found = cut(links(classes).unionByName(links(dense)), "links")
     roots = connected_components(found)

@@ -29,8 +29,8 @@ from quaver.llm.fmindex import BAR, END, FMIndex, Symbols, encode
 from quaver.llm.music import CHANGED, changed_notes, dense_keys, packed, prefix, with_bars, with_keys
 from quaver.llm.scratch import cut
 
-#: Pairs of a shard, at most; each brings at most two records.
-SHARD_PAIRS = 2000
+#: Pairs of a shard, about, each of which brings at most two records; and notes of their records.
+SHARD_PAIRS, SHARD_NOTES = 2000, 1_000_000
 #: A pair whose merged matches cover less than NONE of the notes of the shorter record is no overlap.
 NONE = 0.5
 
@@ -132,12 +132,14 @@ def overlaps(records: DataFrame, sides: DataFrame | None = None) -> DataFrame:
     named = parsed.select("key", "class").join(sides.where("training is not null").select("key", "training"), "key") if sides else parsed.where("training is not null")
     named = cut(named.select("key", "class", "training").distinct(), "named")
     of_class = named.groupBy("class").agg(F.max("training").alias("training"), F.max(~F.col("training")).alias("evaluation"))
-    classes = cut(with_keys(parsed.groupBy("class").agg(F.first("bars").alias("bars")).join(of_class, "class")), "classes")
+    classes = cut(with_keys(parsed.groupBy("class").agg(F.min("bars").alias("bars")).join(of_class, "class")), "classes")
     dense = cut(dense_keys(classes).select("class", "training", "evaluation", "need", "tokens"), "dense")
     pairs = cut(candidates(classes, both=False).unionByName(candidates(dense, both=True)).distinct(), "pairs")
-    shards = max(1, math.ceil(pairs.count() / SHARD_PAIRS))
+    usual = classes.agg(F.avg("notes")).first()[0] or 1
+    most = max(1, min(SHARD_PAIRS, int(SHARD_NOTES / (2 * usual))))  # fewer where records are long
+    shards = max(1, math.ceil(pairs.count() / most))
     # an evaluation class with very many partners is held in several shards
-    parts = pairs.groupBy("e").agg(F.ceil(F.count("*") / SHARD_PAIRS).cast("int").alias("parts"))
+    parts = pairs.groupBy("e").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")).otherwise(0)
     sent = pairs.join(parts, "e").select("t", "e", F.pmod(F.xxhash64("e", part), F.lit(shards)).alias("shard"))
     asked = sent.groupBy("t", "shard").agg(F.collect_list("e").alias("partners")).select(F.col("t").alias("class"), F.lit(True).alias("asks"), "shard", "partners")
