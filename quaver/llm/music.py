@@ -103,13 +103,13 @@ def dense_keys(records: DataFrame) -> DataFrame:
     )
 
 
-def prefix(postings: DataFrame, doc: str) -> DataFrame:
-    """The rarest tokens of each document, so many that any ``need`` of its tokens must touch them.
+def prefix(postings: DataFrame, doc: str, hits: int = 1) -> DataFrame:
+    """The rarest tokens of each document, so many that any ``need`` of its tokens must touch ``hits`` of them (``need`` is no less).
 
     ``postings(doc, need, token, df)`` holds only tokens with a possible partner; those without one
-    are the rarest and could be no evidence.  All but the need - 1 most frequent tokens are kept.
+    are the rarest and could be no evidence.  All but the need - hits most frequent tokens are kept.
     """
-    keep = F.size("l") - F.col("need") + 1
+    keep = F.size("l") - F.col("need") + hits
     return (
         postings.groupBy(doc, "need")
         .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("l"))

@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from quaver.llm.fmindex import BAR, END, FMIndex, Symbols, encode
 from quaver.llm.music import CHANGED, changed_notes, dense_keys, packed, prefix, with_bars, with_keys
-from quaver.llm.scratch import cut
+from quaver.llm.scratch import Cut, cut, swept
 
 #: Pairs of a shard, about, each of which brings at most two records; and notes of their records.
 SHARD_PAIRS, SHARD_NOTES = 2000, 1_000_000
+#: Runs of notes that must meet before a dense pair's music is sent, where that many are sure to.
+LEAD = 3
 #: A pair whose merged matches cover less than NONE of the notes of the shorter record is no overlap.
 NONE = 0.5
 
@@ -105,15 +107,23 @@ def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
 def candidates(classes: DataFrame, both: bool) -> DataFrame:
     """``(t, e)``: classes of training and of evaluation records that may overlap, of ``classes(class, training, evaluation, need, tokens)``.
 
-    An evaluation class is looked up by its rarest tokens that training classes hold; if ``both``,
-    a training class answers to its own rarest tokens only, else to all.
+    An evaluation class is looked up by its rarest tokens that training classes hold, and a training
+    class answers to all of its own.  ``both`` is for tokens so common that one alone is mostly
+    chance: a class that needs ``LEAD`` of them or more is looked up by so many that ``LEAD`` must
+    meet; one that needs fewer by those any of which may be the only one, and a training class
+    answers to its own rarest then.
     """
-    side = lambda flag, name, *more: classes.where(flag).select(F.col("class").alias(name), *more, F.explode("tokens").alias("token"))
-    wanted = side("evaluation", "e", "need")
-    there = cut(side("training", "t", *(["need"] if both else [])).join(wanted.select("token").distinct(), "token", "left_semi"), "held")
+    side = lambda flag, name: classes.where(flag).select(F.col("class").alias(name), "need", F.explode("tokens").alias("token"))
+    wanted = side("evaluation", "e")
+    there = cut(side("training", "t").join(wanted.select("token").distinct(), "token", "left_semi"), "held")
     df = there.groupBy("token").agg(F.count("*").alias("df"))
-    answers = prefix(there.join(df, "token"), "t") if both else there.select("t", "token")
-    return prefix(wanted.join(df, "token"), "e").join(answers, "token").select("t", "e").distinct()
+    answers = there.select("t", "token")
+    if not both:
+        return prefix(wanted.join(df, "token"), "e").join(answers, "token").select("t", "e").distinct()
+    many = F.col("need") >= LEAD
+    led = prefix(wanted.where(many).join(df, "token"), "e", LEAD).join(answers, "token").groupBy("t", "e").agg(F.count("*").alias("n")).where(F.col("n") >= LEAD)
+    few = prefix(wanted.where(~many).join(df, "token"), "e").join(prefix(there.join(df, "token"), "t"), "token")
+    return led.select("t", "e").unionByName(few.select("t", "e").distinct())
 
 
 def overlaps(records: DataFrame, sides: DataFrame | None = None) -> DataFrame:
@@ -127,14 +137,18 @@ def overlaps(records: DataFrame, sides: DataFrame | None = None) -> DataFrame:
     record of which that many whole bars stand in a longer training record.  Records without text or
     music overlap with nothing; an empty side gives an empty result; repeated rows count once.
     """
-    parsed = cut(packed(records.where("key is not null").select("key", "bars", "class", *([] if sides else ["training"]))), "music")
+    music = Cut(packed(records.where("key is not null").select("key", "bars", "class", *([] if sides else ["training"]))), "music")
+    parsed, spark = music.df, music.spark
     # sides are joined to keys and classes only, so the music is shuffled once
     named = parsed.select("key", "class").join(sides.where("training is not null").select("key", "training"), "key") if sides else parsed.where("training is not null")
     named = cut(named.select("key", "class", "training").distinct(), "named")
     of_class = named.groupBy("class").agg(F.max("training").alias("training"), F.max(~F.col("training")).alias("evaluation"))
     classes = cut(with_keys(parsed.groupBy("class").agg(F.min("bars").alias("bars")).join(of_class, "class")), "classes")
+    music.drop()
+    swept(spark)
     dense = cut(dense_keys(classes).select("class", "training", "evaluation", "need", "tokens"), "dense")
     pairs = cut(candidates(classes, both=False).unionByName(candidates(dense, both=True)).distinct(), "pairs")
+    swept(spark)
     usual = classes.agg(F.avg("notes")).first()[0] or 1
     most = max(1, min(SHARD_PAIRS, int(SHARD_NOTES / (2 * usual))))  # fewer where records are long
     shards = max(1, math.ceil(pairs.count() / most))

@@ -50,3 +50,8 @@ class Cut:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     return Cut(df, name).df
+
+
+def swept(spark: SparkSession) -> None:
+    """Lets the shuffle files of finished jobs go, which else stay until the driver happens to collect its garbage."""
+    spark.sparkContext._jvm.System.gc()

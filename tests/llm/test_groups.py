@@ -335,6 +335,23 @@ def test_overlaps_are_those_of_all_pairs(spark, sf):
     assert got == sorted((a, b) for a in train for b in held if same(music_[a], music_[b], excerpts=True)) and got
 
 
+def test_dense_pairs_need_more_than_a_chance_run(spark):
+    rng = random.Random(4)
+    made = [[[rng.choice("abcdefg") + "8" for _ in range(12)] for _ in range(6)] for _ in range(60)]
+    # the last ten stand on the other side too, a note changed in each bar
+    for r in made[:10]:
+        made.append([["x8" if k == at else n for k, n in enumerate(bar)] for bar, at in zip(r, rng.choices(range(12), k=6), strict=True)])
+    rows = [(k, "|".join(map(" ".join, r)), k < 30, k >= 30) for k, r in enumerate(made)]
+    dense = music.dense_keys(music.with_keys(spark.createDataFrame(rows, "class long, bars string, training boolean, evaluation boolean")))
+    got = {tuple(r) for r in overlap.candidates(dense.select("class", "training", "evaluation", "need", "tokens"), both=True).collect()}
+    runs = [{tuple(bar[i : i + 4]) for bar in r for i in range(9)} for r in made]
+    need = {r["class"]: r["need"] for r in dense.collect()}
+    common = {(t, e): len(runs[t] & runs[e]) for t in range(30) for e in range(30, 70)}
+    assert len(need) == 70 and min(need.values()) > 3 and {(k, 60 + k) for k in range(10)} <= got
+    assert {p for p, n in common.items() if n >= need[p[1]]} <= got
+    assert all(common[p] >= 3 for p in got) and sum(n > 0 for n in common.values()) > 5 * len(got)
+
+
 def test_overlap_edges(spark, monkeypatch):
     schema = "key long, training boolean, text string, bars_ string"
     made = lambda rows: music.with_bars(spark.createDataFrame(rows, schema), "text")
