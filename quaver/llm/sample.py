@@ -90,7 +90,7 @@ def _some(room: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
-def exchange(have: np.ndarray, member: np.ndarray, goal: np.ndarray, floor: np.ndarray, rows: int, seed: int) -> np.ndarray:
+def exchange(have: np.ndarray, member: np.ndarray, goal: np.ndarray, floor: np.ndarray, rows: int, seed: int, start: np.ndarray | None = None) -> np.ndarray:
     """How many records of each signature to draw.
 
     ``have`` counts the records of each signature, ``member`` (a row a signature, a column a
@@ -98,7 +98,8 @@ def exchange(have: np.ndarray, member: np.ndarray, goal: np.ndarray, floor: np.n
     Starts from a random sample that holds ``min(floor, supply)`` of each category; then exchanges
     counts between two signatures, as many records at once as lower the sum of squared gaps over
     goals most, until no exchange does.  Floors and what there is are never passed; fewer than
-    ``rows`` are drawn only if there are no more, more only if the floors need more.
+    ``rows`` are drawn only if there are no more, more only if the floors need more.  Given a ``start``,
+    the exchanges go on from that draw.
     """
     rng = np.random.default_rng(seed)
     k, dims = member.shape
@@ -109,7 +110,7 @@ def exchange(have: np.ndarray, member: np.ndarray, goal: np.ndarray, floor: np.n
         return sum((np.bincount(ids[:, d], counts, n + 1) for d in range(dims)), np.zeros(n + 1))[:n].astype(np.int64)
 
     floor = np.minimum(floor, sums(have))
-    take = np.zeros(k, np.int64)
+    take = np.zeros(k, np.int64) if start is None else start.copy()
     for c in rng.permutation(n):
         lack = int(floor[c] - sums(take)[c])
         if lack > 0:
@@ -150,10 +151,20 @@ def exchange(have: np.ndarray, member: np.ndarray, goal: np.ndarray, floor: np.n
         take[best[2]] += best[3]
 
 
+def reached(have: np.ndarray, held: np.ndarray, take: np.ndarray, want: float, rows: int, seed: int) -> bool:
+    """Whether the draw ``take`` holds ``want`` records of the signatures ``held``, or does so once exchanges go on for these alone."""
+    if take[held].sum() < want:
+        goal = math.ceil(want)
+        take = exchange(have, np.where(held, 0, -1)[:, None], np.array([goal]), np.zeros(1, np.int64), max(rows, goal), seed, take)
+    return bool(take[held].sum() >= want)
+
+
 def repair(have: np.ndarray, share: np.ndarray, floor: np.ndarray, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(take, short)`` for one dimension, whose signatures are its categories: how many records of each to draw, and which have fewer than share and floor ask for."""
-    take = exchange(have, np.arange(len(have))[:, None], share * rows, floor, rows, seed)
-    return take, have < np.maximum(share * rows, floor)
+    """``(take, short)`` for one dimension, whose signatures are its categories: how many records of each to draw, and which no exchange brings to what share and floor ask for."""
+    each = np.arange(len(have))
+    take = exchange(have, each[:, None], share * rows, floor, rows, seed)
+    want = np.maximum(share * rows, floor)
+    return take, np.array([not reached(have, each == c, take, want[c], rows, seed) for c in each], bool)
 
 
 class Drawn:
@@ -165,7 +176,8 @@ class Drawn:
         pdf = pdf.sort_values("target_id", ignore_index=True)
         for c in ("target_share", "min_rows", "sample_rows"):
             pdf[c] = pdf[c].fillna(0).astype(float)
-        pdf["have"], pdf["drawn"], pdf["met"] = 0, 0, True
+        pdf["wanted"] = np.maximum(pdf["target_share"] * pdf["sample_rows"], pdf["min_rows"])
+        pdf["have"], pdf["drawn"], pdf["met"] = 0, 0, pdf["wanted"] <= 0
         cols = [f"c{i}" for i in range(len(DIMENSIONS))]
         groups = [list(range(len(DIMENSIONS)))] if together else [[i] for i in range(len(DIMENSIONS))]
         self.counts: list[tuple[list[int], pd.DataFrame, DataFrame]] = []
@@ -195,21 +207,18 @@ class Drawn:
                 # one signature a category, also where there is no record of it
                 all_have = np.zeros(len(goal), np.int64)
                 all_have[member[:, 0]] = got
-                take_all, short = repair(all_have, np.array(goal) / max(rows, 1), np.array(floor, np.int64), rows, seed + g) if goal else (all_have, np.zeros(0, bool))
+                take_all = repair(all_have, np.array(goal) / max(rows, 1), np.array(floor, np.int64), rows, seed + g)[0] if goal else all_have
                 take = take_all[member[:, 0]]
             else:
                 take = exchange(got, member, np.array(goal), np.array(floor, np.int64), rows, seed + g) if goal else np.zeros(len(got), np.int64)
-                short = np.array([], bool)
             for (d, c), k in number.items():
                 at = pdf.index[(pdf["dimension"] == DIMENSIONS[d]) & (pdf["category"] == c)]
                 held = member[:, dims.index(d)] == k
                 pdf.loc[at, "have"] = int(got[held].sum())
                 pdf.loc[at, "drawn"] = int(take[held].sum())
-                if len(short):
-                    pdf.loc[at, "met"] = not short[k]
+                for i in at:
+                    pdf.loc[i, "met"] = reached(got, held, take, pdf.loc[i, "wanted"], rows, seed + g)
             self.counts.append((dims, have.assign(take=take), named))
-        pdf["wanted"] = np.maximum(pdf["target_share"] * pdf["sample_rows"], pdf["min_rows"])
-        pdf["met"] = (pdf["met"] if not together else True) & (pdf["have"] >= pdf["wanted"])
         pdf["deviation"] = np.where(pdf["wanted"] > 0, (pdf["drawn"] - pdf["wanted"]) / pdf["wanted"].where(pdf["wanted"] > 0, 1.0), 0.0)
         pdf["drawn_met"] = (pdf["drawn"] >= pdf["min_rows"]) & ((pdf["drawn"] - pdf["wanted"]).abs() <= np.maximum(1.0, TOLERANCE * pdf["wanted"]))
         self.df = spark.createDataFrame(
@@ -221,7 +230,8 @@ class Drawn:
 def report(scores: DataFrame, targets: DataFrame, terms: DataFrame, seed: int = 0, together: bool = False) -> DataFrame:
     """Every target with what there is (``have``), what it asks for (``wanted``: the larger of share and floor) and what is ``drawn``.
 
-    ``met`` says whether there are enough records; ``drawn_met`` whether the draw holds the floor and
+    ``met`` says whether the draw holds what is wanted or comes to hold it by exchanges for this target
+    alone, which it does if there are enough records; ``drawn_met`` whether the draw holds the floor and
     comes within ``TOLERANCE`` of ``wanted``, which floors of other categories may leave no room for;
     ``deviation`` is relative to ``wanted``.  Targets of other dimensions than ``DIMENSIONS`` have none.
     """

@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quaver.llm import canon, fold, leakage, packing, sample, skeleton
+from quaver.llm import canon, fold, leakage, packing, queries, sample, skeleton
 
 DOCS = "doc_id long, text string, h string, shard long, words int, form string"
 
@@ -162,6 +162,20 @@ def test_sample_on_tables(spark, sf):
     assert got.sort_values(list(got)).reset_index(drop=True).equals(sample.draw(*args).toPandas().sort_values(list(got)).reset_index(drop=True))
 
 
+def test_targets_are_met_by_what_is_drawn(spark, sf, monkeypatch):
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        have, want = rng.integers(0, 40, 6), float(rng.integers(0, 60)) + rng.choice([0, 0.4])
+        take, held = sample._some(have, 30, rng), np.arange(6) < 2
+        assert sample.reached(have, held, take, want, 30, 1) == (have[held].sum() >= want)
+    before = {r["target_id"] for r in queries.p5_found(spark, sf).collect()}
+    targets = spark.read.parquet(f"{sf}/sample_targets.parquet").where("target_share * sample_rows > 0 or min_rows > 0")
+    wanted = {r["target_id"] for r in targets.where("dimension is not null and category is not null").collect()}
+    monkeypatch.setattr(sample, "exchange", lambda have, *_: np.zeros_like(have))
+    after = {r["target_id"] for r in queries.p5_found(spark, sf).collect()}
+    assert before < after == wanted
+
+
 def test_sample_categories_and_buckets(spark, monkeypatch):
     monkeypatch.setattr(sample, "BUCKET_ROWS", 10)
     terms = spark.createDataFrame([(1, "style", "Baroque", ["Barock"]), (2, "style", "Galant", [])], "term_id long, field_name string, term string, aliases array<string>")
